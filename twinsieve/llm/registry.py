@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
 from twinsieve.llm.sharding import shard_documents
+from twinsieve.llm.tokenfiles import token_digests, write_tokens
+from twinsieve.llm.tokens import tokenizer_path
+from twinsieve.shared import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048, project=digest_pieces, schema=DIGESTS)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/tokens"
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_digests(spark, path)
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op7_token_files": op7_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
