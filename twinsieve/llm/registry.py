@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinsieve.llm.chat import DIGEST_SQL, conversation_digests, format_conversations, with_control_conversation
+from twinsieve.llm.langid import fit, held_out, identify
+from twinsieve.llm.licences import licence_digests, scan_licences
 from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
 from twinsieve.llm.sharding import shard_documents
 from twinsieve.llm.tokenfiles import token_digests, write_tokens
 from twinsieve.llm.tokens import tokenizer_path
+from twinsieve.llm.topk import TOP_SQL, top_k
 from twinsieve.shared import work_dir
 
 
@@ -23,16 +27,41 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048, project=digest_pieces, schema=DIGESTS)
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_digests(scan_licences(_table(spark, sf_dir, "documents")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs), ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/tokens"
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_digests(spark, path)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(format_conversations(with_control_conversation(spark, _table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_licences": op5_licences,
+    "op6_language": op6_language,
     "op7_token_files": op7_token_files,
+    "op8_topk": op8_topk,
+    "op9_chat": op9_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": TOP_SQL,
+    "op9_chat": DIGEST_SQL,
+}
