@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import slices
 from twinsieve.llm.tokenfiles import id_lists
 from twinsieve.llm.tokens import encoder
 
@@ -64,7 +63,6 @@ def pack_documents(
     its task to columns named by ``schema``. Null text: the end id alone. Repeated rows are packed
     each. An empty table gives no pieces; other columns are not read.
     """
-    end = np.array([end_id], "<u4").tobytes()
     groups = max(1, math.ceil(docs.count() / group_docs))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -72,22 +70,25 @@ def pack_documents(
         group = table.column("grp")[0].as_py()
         order = np.lexsort((table.column("tie").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy()))
         table = table.take(pa.array(order))
-        text = table.column("text").combine_chunks()
-        blobs: list[bytes] = []
-        for first, _, offsets in slices(text):
-            blobs += [b + end for b in enc.encode(text.slice(first, len(offsets) - 1).to_pylist())]
-        ids = table.column("doc_id").to_pylist()
-        cuts = [(k, s, min(4 * length, len(b) - s)) for k, b in enumerate(blobs) for s in range(0, len(b), 4 * length)]
-        bins, places = first_fit_decreasing([n // 4 for _, _, n in cuts], length)
+        parts = [(i, s) for _, i, s in enc.column(table.column("text"), end_id)]
+        ids = np.concatenate([i for i, _ in parts])
+        sizes = np.concatenate([np.diff(s) for _, s in parts])
+        firsts = np.cumsum(sizes) - sizes
+        pieces = -(-sizes // length)
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        start = length * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        held = np.minimum(length, sizes[row] - start)
+        bins, places = first_fit_decreasing(held.tolist(), length)
         out = pa.table(
             {
-                "doc_id": pa.array([ids[k] for k, _, _ in cuts], pa.int64()),
-                "start": pa.array([s // 4 for _, s, _ in cuts], pa.int64()),
-                "length": pa.array([n // 4 for _, _, n in cuts], pa.int64()),
-                "doc_tokens": pa.array([len(blobs[k]) // 4 for k, _, _ in cuts], pa.int64()),
-                "sequence_id": pa.array([(group << 32) + b for b in bins], pa.int64()),
+                "doc_id": table.column("doc_id").combine_chunks().take(pa.array(row)),
+                "start": pa.array(start),
+                "length": pa.array(held),
+                "doc_tokens": pa.array(sizes[row]),
+                "sequence_id": pa.array((group << 32) + np.array(bins, np.int64)),
                 "offset": pa.array(places, pa.int64()),
-                "ids": id_lists([blobs[k][s : s + n] for k, s, n in cuts]),
+                # pieces follow one another as their ids do
+                "ids": id_lists(ids, np.concatenate([(firsts[row] + start), [len(ids)]])),
             }
         )
         return project(out) if project else out

@@ -60,11 +60,13 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
 class WordScanner:
     """Hashes of the words of a column, slice by slice."""
 
-    def __init__(self, is_word: np.ndarray):
+    def __init__(self, is_word: np.ndarray, fold: bool = True):
+        """fold: A-Z count as a-z."""
         self.is_word = is_word
-        fold = np.arange(256, dtype=np.uint64)
-        fold[65:91] += np.uint64(32)
-        self.fold = fold + np.uint64(1)
+        codes = np.arange(256, dtype=np.uint64)
+        if fold:
+            codes[65:91] += np.uint64(32)
+        self.codes = codes + np.uint64(1)
         self.powers = self.inverses = np.ones(0, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -75,26 +77,33 @@ class WordScanner:
                 table[0] = 1
                 setattr(self, name, np.cumprod(table))
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and where each row's words begin among them."""
+    def spans(self, data: np.ndarray, offsets: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, byte after the last, and hash of every word; ``also``: bytes at which a word begins inside a run."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self._grow(n + 1)
         w = self.is_word[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
+        if also is not None:
+            cut[:n] |= also
         begins, ends = w.copy(), w.copy()
         begins[1:] &= ~w[:-1] | cut[1:n]
         ends[:-1] &= ~w[1:] | cut[1:n]
         begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
-        total = self.fold[data]
+        total = self.codes[data]
         total *= self.powers[:n]
         np.cumsum(total, out=total)
         before = total[begins - 1]
         if len(begins) and begins[0] == 0:
             before[0] = 0
-        return mix((total[ends] - before) * self.inverses[begins]), np.searchsorted(begins, offsets).astype(np.int64)
+        return begins, ends + 1, mix((total[ends] - before) * self.inverses[begins])
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each row's words begin among them."""
+        begins, _, hashes = self.spans(data, offsets)
+        return hashes, np.searchsorted(begins, offsets).astype(np.int64)
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for first, data, offsets in slices(column):

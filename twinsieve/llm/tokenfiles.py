@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import slices
 from twinsieve.llm.tokens import encoder
 
 ROW_GROUP_BYTES = 16 << 20
@@ -29,10 +28,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 
 
-def id_lists(blobs: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(blobs) + 1, np.int32)
-    np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+def id_lists(ids: np.ndarray, splits: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), pa.array(ids))
 
 
 def write_tokens(
@@ -46,17 +43,14 @@ def write_tokens(
     page_rows: int = PAGE_ROWS,
 ) -> None:
     """Tokenize ``docs`` (doc_id, text) and write the files. Null text: the end id alone. An empty table writes no rows."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, drops_space)
         for batch in batches:
-            text = batch.column("text")
-            for first, _, offsets in slices(text):
-                n = len(offsets) - 1
-                blobs = [b + end for b in enc.encode(text.slice(first, n).to_pylist())]
+            for first, ids, splits in enc.column(batch.column("text"), end_id):
+                n = len(splits) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), batch.column("seq").slice(first, n), pa.array([len(b) // 4 for b in blobs], pa.int64()), id_lists(blobs)],
+                    [batch.column("doc_id").slice(first, n), batch.column("seq").slice(first, n), pa.array(np.diff(splits)), id_lists(ids, splits)],
                     ["doc_id", "seq", "n_tokens", "ids"],
                 )
 
