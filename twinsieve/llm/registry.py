@@ -8,6 +8,7 @@ from twinsieve.llm.chat import DIGEST_SQL, conversation_digests, format_conversa
 from twinsieve.llm.langid import fit, held_out, identify
 from twinsieve.llm.licences import licence_digests, scan_licences
 from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
+from twinsieve.llm.setjoin import jaccard_components
 from twinsieve.llm.sharding import shard_documents
 from twinsieve.llm.tokenfiles import token_digests, write_tokens
 from twinsieve.llm.tokens import tokenizer_path
@@ -51,6 +52,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(with_control_conversation(spark, _table(spark, sf_dir, "conversations"))))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
@@ -59,6 +64,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_topk": op8_topk,
     "op9_chat": op9_chat,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
