@@ -6,7 +6,7 @@ order - frequent grams last - and indexed by their prefixes: two sets that are s
 a gram in their prefixes. Each gram's list is ordered by set size and taken in blocks of positions:
 
 * index-level skipping: a block of positions that cannot reach the overlap is skipped whole, pairs
-  by their sizes, positions and 256-bit parity sketches (the sketches' distance never exceeds the
+  by their sizes, positions and parity sketches (the sketches' distance never exceeds the
   sets' difference, so nothing similar is lost);
 * answer-level skipping: a set whose link to a highly similar set is verified takes over that set's
   answer, its component; only pairs between different answers are looked at again. So a large group
@@ -19,6 +19,7 @@ what reaches the driver is the frequent grams and one bitmap, both of fixed boun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ MOST_FREQUENT = 65_536
 FILTER_BITS = 1 << 23
 SEEN_SETS = 200_000
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Sets of this size or more get a second sketch of 2**WIDE_LOG_BITS places before they are verified: 256 are too few for them.
+WIDE_FROM = 600
+WIDE_LOG_BITS = 12
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,9 +76,9 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0] >> np.uint64(1))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's members at 256 places."""
-    bits = np.bincount((mix(s + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+def sketch(s: np.ndarray, log_bits: int = 8) -> np.ndarray:
+    """Parity of the set's members at 2**log_bits places."""
+    bits = np.bincount((mix(s + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - log_bits)).astype(np.int64), minlength=1 << log_bits) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -146,9 +150,8 @@ def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Data
     return docs.select("text").mapInArrow(scan, ENTRIES)
 
 
-def _candidates(gram, sid, n, place, bits, percent: int, label=None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of entries (ordered by gram, n, sid) that may be similar; label: only pairs whose labels differ."""
-    left, right = [], []
+def _candidates(gram, sid, n, place, near_enough, percent: int, label=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of entries (ordered by gram, n, sid) that may be similar, and their sketches' distance; label: only pairs whose labels differ."""
     i = np.arange(len(gram))
     for d in range(1, len(gram)):
         i = i[i + d < len(gram)]
@@ -166,24 +169,20 @@ def _candidates(gram, sid, n, place, bits, percent: int, label=None) -> tuple[np
             ok &= label[i] != label[j]
         a, b, need, both = i[ok], j[ok], need[ok], both[ok]
         if len(a):
-            apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
-            ok = apart <= both - 2 * need
-            left.append(a[ok])
-            right.append(b[ok])
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(left or empty), np.concatenate(right or empty)
+            ok, apart = near_enough(a, b, both - 2 * need)
+            yield a[ok], b[ok], apart
 
 
 #: Lists longer than this are joined block by block of positions.
 LONG_LIST = 512
 POSITION_BLOCK = 16
+PAIRS_AT_ONCE = 200_000
 
 
-def _block_candidates(gram, sid, n, place, bits, percent: int, label=None) -> tuple[np.ndarray, np.ndarray]:
+def _block_candidates(sid, n, place, near_enough, percent: int, label=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``_candidates`` for one long list: blocks of positions whose bound fails are skipped whole."""
     block = place // POSITION_BLOCK
     parts = [np.flatnonzero(block == b) for b in np.unique(block)]
-    left, right = [], []
     for x, a in enumerate(parts):
         for b in parts[x:]:
             # the most overlap any pair of these blocks can have, against the least that is asked of it
@@ -204,11 +203,8 @@ def _block_candidates(gram, sid, n, place, bits, percent: int, label=None) -> tu
                 if label is not None:
                     ok &= label[q] != label[p]
                 q, need, both = q[ok], need[ok], both[ok]
-                q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1) <= both - 2 * need]
-                left.append(np.full(len(q), p))
-                right.append(q)
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(left or empty), np.concatenate(right or empty)
+                ok, apart = near_enough(np.full(len(q), p), q, both - 2 * need)
+                yield np.full(len(apart), p), q[ok], apart
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -245,70 +241,112 @@ def _then_none(batches):
     yield None
 
 
-def _pairs(now: list[np.ndarray], percent: int, label=None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate index pairs of many lists: long ones block by block, the rest at once."""
+def _sketches_near(bits: np.ndarray, wide: np.ndarray | None, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which index pairs have sketches at most ``most`` apart, and those pairs' distances."""
+    apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+    ok = apart <= most
+    if wide is not None:
+        both = np.flatnonzero(ok)
+        both = both[[wide[x] is not None and wide[y] is not None for x, y in zip(a[both].tolist(), b[both].tolist(), strict=True)]] if len(both) else both
+        for k in range(0, len(both), 1 << 14):
+            part = both[k : k + (1 << 14)]
+            x = np.frombuffer(b"".join(wide[a[part]]), np.uint64).reshape(len(part), -1)
+            y = np.frombuffer(b"".join(wide[b[part]]), np.uint64).reshape(len(part), -1)
+            apart[part] = np.bitwise_count(x ^ y).sum(axis=1)
+        ok = apart <= most
+    return ok, apart[ok].astype(np.int64)
+
+
+def _pairs(now: list[np.ndarray], percent: int, label=None, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate index pairs of many lists, some PAIRS_AT_ONCE at a time: long lists block by block, the rest at once."""
     gram, sid, n, place = now[0], now[1], now[2].astype(np.int64), now[3].astype(np.int64)
     bits = np.stack(now[4:8], axis=1).view(np.uint64)
     begins = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     sizes = np.diff(np.concatenate([begins, [len(gram)]]))
-    left, right = [], []
-    short = np.ones(len(gram), bool)
-    for b, size in zip(begins[sizes > LONG_LIST].tolist(), sizes[sizes > LONG_LIST].tolist(), strict=True):
-        at = slice(b, b + size)
-        short[at] = False
-        x, y = _block_candidates(gram[at], sid[at], n[at], place[at], bits[at], percent, None if label is None else label[at])
-        left.append(x + b)
-        right.append(y + b)
-    at = np.flatnonzero(short)
-    x, y = _candidates(gram[at], sid[at], n[at], place[at], bits[at], percent, None if label is None else label[at])
-    return np.concatenate([*left, at[x]]), np.concatenate([*right, at[y]])
+
+    def all_parts():
+        short = np.ones(len(gram), bool)
+        for b, size in zip(begins[sizes > LONG_LIST].tolist(), sizes[sizes > LONG_LIST].tolist(), strict=True):
+            at = slice(b, b + size)
+            short[at] = False
+            near = partial(_sketches_near, bits[at], None if wide is None else wide[at])
+            for x, y, apart in _block_candidates(sid[at], n[at], place[at], near, percent, None if label is None else label[at]):
+                yield x + b, y + b, apart
+        at = np.flatnonzero(short)
+        near = partial(_sketches_near, bits[at], None if wide is None else wide[at])
+        for x, y, apart in _candidates(gram[at], sid[at], n[at], place[at], near, percent, None if label is None else label[at]):
+            yield at[x], at[y], apart
+
+    held, count = [], 0
+    for part in all_parts():
+        held.append(part)
+        count += len(part[0])
+        if count > PAIRS_AT_ONCE:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, count = [], 0
+    if count:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _union(lead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``lead`` (the least index of each one's component) after joining the pairs."""
+    while True:
+        x, y = lead[a], lead[b]
+        open_ = x != y
+        if not open_.any():
+            return lead
+        np.minimum.at(lead, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (lead != (lead := lead[lead])).any():
+            pass
 
 
 def near_entries(index: DataFrame, percent: int) -> DataFrame:
-    """The entries that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and ``near``: a candidate."""
+    """The entries that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and the nearest candidate by sketch with its distance."""
+    columns = ["gram", "sid", "n", "place", *SKETCH] + ["wide"] * ("wide" in index.columns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH]):
-            a, b = _pairs(now, percent)
-            if not len(a):
-                continue
-            # least index reachable, by label passing: a few rounds, as lists of near copies are dense
-            lead = np.arange(len(now[0]))
-            while True:
-                before = lead.copy()
-                low = np.minimum(lead[a], lead[b])
-                np.minimum.at(lead, a, low)
-                np.minimum.at(lead, b, low)
-                lead = lead[lead]
-                if (lead == before).all():
-                    break
-            near = np.full(len(lead), -1)
-            near[a] = b
-            near[b] = a
+        for now in _lists(batches, columns):
+            size = len(now[0])
+            lead, near, far = np.arange(size), np.full(size, -1), np.full(size, 1 << 30)
+            for a, b, apart in _pairs(now, percent, wide=now[8] if len(now) > 8 else None):
+                lead = _union(lead, a, b)
+                for x, y in ((a, b), (b, a)):
+                    order = np.argsort(-apart, kind="stable")
+                    x, y, d = x[order], y[order], apart[order]
+                    best_y, best_d = np.full(size, -1), np.full(size, 1 << 30)
+                    best_y[x], best_d[x] = y, d  # the last, nearest, stays
+                    closer = best_d < far
+                    near[closer], far[closer] = best_y[closer], best_d[closer]
             some = np.flatnonzero(near >= 0)
-            columns = [pa.array(x[some]) for x in now]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(now[1][lead[some]]), pa.array(now[1][near[some]])], ["gram", "sid", "n", "place", *SKETCH, "lead", "near"])
+            if len(some):
+                kept = [pa.array(x[some], pa.binary() if c == "wide" else None) for c, x in zip(columns, now, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(now[1][lead[some]]), pa.array(now[1][near[some]]), pa.array(far[some].astype(np.int32))], [*columns, "lead", "near", "far"])
 
-    return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, f"{ENTRIES}, lead long, near long")
+    kinds = ENTRIES + ", wide binary" * ("wide" in index.columns)
+    return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, f"{kinds}, lead long, near long, far int")
 
 
 def open_pairs(near: DataFrame, percent: int) -> DataFrame:
     """(a, b) distinct candidates of ``near`` entries whose ``label`` differs."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH, "label"]):
-            a, b = _pairs(now, percent, now[8])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(now[1][a], now[1][b])), pa.array(np.maximum(now[1][a], now[1][b]))], ["a", "b"])
+        for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH, "label", "wide"]):
+            for a, b, _ in _pairs(now, percent, now[8], now[9]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(now[1][a], now[1][b])), pa.array(np.maximum(now[1][a], now[1][b]))], ["a", "b"])
+
+    return near.select("gram", "sid", "n", "place", *SKETCH, "label", "wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
 
-    return near.select("gram", "sid", "n", "place", *SKETCH, "label").repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
 
+def of_sets(docs: DataFrame, wanted: DataFrame, n: int, what: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Of the sets in ``wanted`` (sid), once each: (sid, grams), or (sid, wide) of those of WIDE_FROM grams or more.
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(sid, grams) of the sets in ``wanted`` (sid), once each; a fixed bitmap spares the others the shuffle."""
+    A bitmap of fixed size spares the other sets the shuffle; the join that follows is exact.
+    """
     words = wanted.select(F.pmod("sid", F.lit(bits)).alias("b")).groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("x"))
     bitmap = np.zeros(bits // 32, np.uint32)
     for r in words.collect():
         bitmap[r.w] = r.x
+    wide = what == "wide"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
@@ -316,16 +354,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, bits: int = FILTER_BI
             for _, sets in scanner.sets(batch.column("text")):
                 out = []
                 for s in sets:
-                    if len(s) and (i := set_id(s)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
+                    if len(s) >= (WIDE_FROM if wide else 1) and (i := set_id(s)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
                         seen.add(i)
-                        out.append((i, s.view(np.int64)))
+                        out.append((i, sketch(s, WIDE_LOG_BITS).tobytes() if wide else s.view(np.int64)))
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))], ["sid", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary() if wide else pa.list_(pa.int64()))], ["sid", what])
 
-    found = docs.select("text").mapInArrow(scan, "sid long, grams array<long>")
-    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+    found = docs.select("text").mapInArrow(scan, "sid long, wide binary" if wide else "sid long, grams array<long>")
+    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first(what).alias(what))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -348,13 +386,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     table = materialize(digests(docs, n, percent), "digests")
     index = entries(docs, n, percent, frequent_grams(table))
-    near = materialize(near_entries(index, percent), "near")
-    sets = materialize(whole_sets(docs, near.select("sid").distinct(), n), "sets")
-
-    def proposal(column: str) -> DataFrame:
-        return near.where(F.col("sid") != F.col(column)).select(F.least("sid", column).alias("a"), F.greatest("sid", column).alias("b"))
-
-    links = materialize(verify(proposal("lead").unionByName(proposal("near")).distinct(), sets, percent), "links")
+    near = materialize(near_entries(index, percent).drop("lead", "near", "far"), "near")
+    # once more with the wider sketches, for the few that are left
+    wide = of_sets(docs, near.where(F.col("n") >= WIDE_FROM).select("sid").distinct(), n, "wide")
+    near = materialize(near_entries(near.join(wide, "sid", "left"), percent), "near")
+    sets = materialize(of_sets(docs, near.select("sid").distinct(), n, "grams"), "sets")
+
+    # two verifications a set at most: the first set it hangs together with, and the nearest
+    best = near.groupBy("sid").agg(F.min("lead").alias("lead"), F.min(F.struct("far", "near")).getField("near").alias("near"))
+    first = best.select("sid", F.explode(F.array("lead", "near")).alias("other")).where("sid <> other")
+    first = first.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    links = materialize(verify(first, sets, percent), "links")
     answers = connected_components(links, "a", "b")
     labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
     more = materialize(verify(open_pairs(labelled, percent), sets, percent), "links")
