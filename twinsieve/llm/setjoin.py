@@ -38,8 +38,8 @@ FILTER_BITS = 1 << 23
 SEEN_SETS = 200_000
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Sets of this size or more get a second sketch of 2**WIDE_LOG_BITS places before they are verified: 256 are too few for them.
-WIDE_FROM = 600
-WIDE_LOG_BITS = 12
+WIDE_FROM = 64
+WIDE_LOG_BITS = 11
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
