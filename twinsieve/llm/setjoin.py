@@ -326,12 +326,36 @@ def near_entries(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, f"{kinds}, lead long, near long, far int")
 
 
-def open_pairs(near: DataFrame, percent: int) -> DataFrame:
-    """(a, b) distinct candidates of ``near`` entries whose ``label`` differs."""
+def _forest(lead: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs some that join all components the pairs join, nearest first, and ``lead`` after them."""
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    left, right = [a[:0]], [b[:0]]
+    while True:
+        open_ = lead[a] != lead[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return lead, np.concatenate(left), np.concatenate(right)
+        _, first = np.unique(lead[a], return_index=True)
+        left.append(a[first])
+        right.append(b[first])
+        lead = _union(lead, a[first], b[first])
+
+
+def open_pairs(near: DataFrame, percent: int, joining: bool) -> DataFrame:
+    """(a, b) distinct candidates of ``near`` entries whose ``label`` differs: all, or of each list only so many as join its labels."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH, "label", "wide"]):
-            for a, b, _ in _pairs(now, percent, now[8], now[9]):
+            if joining:  # labels of a list count as joined from the start
+                order = np.lexsort((now[8], now[0]))
+                g, x = now[0][order], now[8][order]
+                new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
+                lead = np.empty(len(g), np.int64)
+                lead[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+            for a, b, apart in _pairs(now, percent, now[8], now[9]):
+                if joining:
+                    lead, a, b = _forest(lead, a, b, apart)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(now[1][a], now[1][b])), pa.array(np.maximum(now[1][a], now[1][b]))], ["a", "b"])
 
     return near.select("gram", "sid", "n", "place", *SKETCH, "label", "wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
@@ -397,10 +421,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     first = best.select("sid", F.explode(F.array("lead", "near")).alias("other")).where("sid <> other")
     first = first.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
     links = materialize(verify(first, sets, percent), "links")
+    # then so many as join the answers met in a list, and at last all that are still open
+    for joining in (True, False):
+        answers = connected_components(links, "a", "b")
+        labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
+        more = verify(open_pairs(labelled, percent, joining), sets, percent)
+        links = materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
     answers = connected_components(links, "a", "b")
-    labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-    more = materialize(verify(open_pairs(labelled, percent), sets, percent), "links")
-    answers = connected_components(links.unionByName(more), "a", "b")
 
     least = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(answers.withColumnRenamed("node", "sid"), "sid", "left")
     linked = least.where("component is not null")
