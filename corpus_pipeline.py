@@ -1,13 +1,70 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Language identification drops documents in no learned language; the n-gram Jaccard join keeps one
+document of each group of near copies; decontamination drops documents that contain a benchmark
+item; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from twinsieve.llm.decontaminate import contaminated
+from twinsieve.llm.langid import UNKNOWN, fit, identify
+from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
+from twinsieve.llm.setjoin import jaccard_components
+from twinsieve.llm.tokens import tokenizer_path
 from twinsieve.shared import work_dir
 
-STAGES: list = []
+#: A document is rejected where no language holds so much of its bytes' probability.
+MIN_LANGUAGE_SCORE = 0.4
+#: Near copies: five-word shingles, similarity 0.8 or more.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+_NO_ID = -(1 << 63)
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id`` and ``_hash``, by which rows of the same id but another text are told apart."""
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _has_words(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: not those without text or letters, nor those that no language fits."""
+    found = identify(docs, fit(docs), docs.columns)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id. Documents without words are in no group."""
+    groups = jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("group_id is not null")
+    groups = groups.select("group_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash"))
+    kept = groups.groupBy("group_id").agg(F.min(F.struct("_none", "_id", "_hash")).alias("k")).select("k._id", "k._hash")
+    rows = _row_key(docs)
+    first = rows.where(_has_words("text")).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return first.unionByName(rows.where(~_has_words("text"))).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    rows = _row_key(docs)
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), extra=["_id", "_hash"])
+    return rows.join(found.select("_id", "_hash").distinct(), ["_id", "_hash"], "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, length=2048, project=digest_pieces, schema=DIGESTS)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontaminate), ("packing", pack)]
 
+#: SQL can't express the stages; tests hold run() to a plain Python version.
 ORACLE_SQL = None
 
 
@@ -15,10 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = work_dir(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

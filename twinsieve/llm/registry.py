@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinsieve.llm.chat import DIGEST_SQL, conversation_digests, format_conversations, with_control_conversation
+from twinsieve.llm.decontaminate import contaminated
 from twinsieve.llm.langid import fit, held_out, identify
 from twinsieve.llm.licences import licence_digests, scan_licences
+from twinsieve.llm.ngramlm import SCORE_SQL, ngram_scores
 from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
 from twinsieve.llm.setjoin import jaccard_components
 from twinsieve.llm.sharding import shard_documents
@@ -20,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores(_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -53,10 +64,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_lm_scores": op2_lm_scores,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_licences": op5_licences,
@@ -68,6 +81,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lm_scores": SCORE_SQL,
     "op8_topk": TOP_SQL,
     "op9_chat": DIGEST_SQL,
 }

@@ -87,7 +87,7 @@ def _u64(column) -> np.ndarray:
 
 
 def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, prefix): the set's size and id, and the prefix under the plain order of hashes."""
+    """(doc_id, text_hash, n_shingles, sid, prefix): the set's size and id, and the prefix under the plain order of hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
@@ -102,11 +102,11 @@ def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "sid", "prefix"],
+                    [batch.column("doc_id").slice(first, len(sets)), batch.column("text_hash").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "sid", "prefix"],
                 )
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, sid long, prefix array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, sid long, prefix array<long>")
 
 
 def frequent_grams(table: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -400,11 +400,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, group_id, text_hash) of every row of ``docs`` (doc_id, text).
 
     Rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the
     smallest doc_id reachable by links. Null or empty texts have no grams and are their own
     component; equal texts are one set. Null ids stay, and do not name a component others join.
+    group_id names the group of linked rows apart from doc_ids, which may repeat (null: no grams).
     An empty table gives no rows; other columns are not read. Sets are told apart by 63-bit ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -432,6 +433,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     least = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(answers.withColumnRenamed("node", "sid"), "sid", "left")
     linked = least.where("component is not null")
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
-    named = linked.join(roots, "component").select("sid", F.col("root").alias("component_id")).unionByName(least.where("component is null").select("sid", F.col("least").alias("component_id")))
-    rows = table.where("sid is not null").join(named, "sid", "left").select("doc_id", "n_shingles", "component_id")
-    return rows.unionByName(table.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = linked.join(roots, "component").select("sid", F.col("component").alias("group_id"), F.col("root").alias("component_id"))
+    named = named.unionByName(least.where("component is null").select("sid", F.col("sid").alias("group_id"), F.col("least").alias("component_id")))
+    columns = ["doc_id", "n_shingles", "component_id", "group_id", "text_hash"]
+    rows = table.where("sid is not null").join(named, "sid", "left").select(columns)
+    return rows.unionByName(table.where("sid is null").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.col("sid")).select(columns))
