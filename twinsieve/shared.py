@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,18 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/twinsieve-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions inside remove their shuffle files as they end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -32,5 +46,6 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}"
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
