@@ -59,7 +59,7 @@ def normalize(c: Column) -> Column:
     s = F.lower(F.regexp_replace(s, r"[\x{064B}-\x{0655}\x{0670}]", ""))
     s = F.regexp_replace(s, r"[\x{1F000}-\x{1F2FF}\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]", " ")
     s = F.regexp_replace(s, r"(?i)(https?://|tg://|www\.)\S+", " ")
-    s = F.regexp_replace(s, r"(?<![\p{L}\p{N}_])@[A-Za-z0-9_]{3,}", " ")
+    s = F.regexp_replace(s, r"(^|[^\p{L}\p{N}_])@[A-Za-z0-9_]{3,}", "$1 ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s\x{0600}-\x{06FF}]+", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
@@ -109,9 +109,14 @@ def _telling(t: Column) -> Column:
     return F.when(F.size(some) > 0, some).otherwise(t)
 
 
+def token_set(c: Column) -> Column:
+    """Distinct tokens without single characters, unless nothing else is left."""
+    return _telling(F.array_distinct(tokens(c)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the token sets without single characters, unless nothing else is left; 0 if either is empty."""
-    x, y = _telling(F.array_distinct(tokens(a))), _telling(F.array_distinct(tokens(b)))
+    x, y = token_set(a), token_set(b)
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
 

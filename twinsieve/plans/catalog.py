@@ -1,6 +1,506 @@
-"""Registry of the engine's queries and their DuckDB SQL."""
+"""Registry of the engine's queries over the driver's tables, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinsieve.config import MatchConfig
+from twinsieve.functions import text as X
+from twinsieve.operators import clusters as C
+from twinsieve.operators import hashing as H
+from twinsieve.operators import pairs as P
+from twinsieve.operators import signals as S
+from twinsieve.operators import store as W
+from twinsieve.operators.components import connected_components
+from twinsieve.sources.pages import posts
+from twinsieve.streaming.ingest import run_to_table, tail, windowed_counts
+from twinsieve.shared import materialize, work_dir
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+CFG = MatchConfig()
+#: Part names are short and prices small: the size signals' floors are lowered to their scale.
+SMALL = MatchConfig(size_tol_min=50, min_size_for_match=100, dur_tol_s=2.0, duration_pair_cap=3, duration_dense_window=2, size_pair_cap=8, size_pair_exact_cap=8)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cents(c: str):
+    return F.floor(F.col(c) * 100 + 0.5).cast("long")
+
+
+def docs_v(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("channel_id"), F.col("doc_id").alias("idx"), X.caption_norm(F.col("text")).alias("caption_norm"), F.col("n_chars").alias("size"), F.md5("text").alias("content_hash"), F.lit("full").alias("hash_scope"))
+
+
+def parts_v(spark, sf_dir) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("channel_id"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("file_name"), X.name_norm(F.col("p_name")).alias("name_norm"), F.lit("").alias("caption_norm"), cents("p_retailprice").alias("size"), F.col("p_size").cast("long").alias("duration"))
+
+
+def orders_v(spark, sf_dir) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("idx"), cents("o_totalprice").alias("size"), F.unix_timestamp("o_orderdate").alias("duration"))
+
+
+_STOP = ", ".join(f"'{t}'" for t in X.QUALITY)
+
+
+def sql_normalize(c: str) -> str:
+    src, dst = "".join(X.SAME), "".join(X.SAME.values())
+    s = f"lower(regexp_replace(translate(regexp_replace(coalesce({c}, ''), '[\\x{{0640}}\\x{{200F}}\\x{{200E}}\\x{{200C}}]', '', 'g'), '{src}', '{dst}'), '[\\x{{064B}}-\\x{{0655}}\\x{{0670}}]', '', 'g'))"
+    s = f"regexp_replace({s}, '[\\x{{1F000}}-\\x{{1F2FF}}\\x{{1F300}}-\\x{{1FAFF}}\\x{{2190}}-\\x{{21FF}}\\x{{2300}}-\\x{{23FF}}\\x{{2600}}-\\x{{27BF}}\\x{{2B00}}-\\x{{2BFF}}\\x{{FE0F}}]', ' ', 'g')"
+    s = f"regexp_replace({s}, '(https?://|tg://|www\\.)\\S+', ' ', 'gi')"
+    s = f"regexp_replace({s}, '(^|[^\\p{{L}}\\p{{N}}_])@[A-Za-z0-9_]{{3,}}', '\\1 ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({s}, '[^\\p{{L}}\\p{{N}}_\\s\\x{{0600}}-\\x{{06FF}}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def sql_name_norm(c: str) -> str:
+    keep = f"x <> '' AND NOT list_contains([{_STOP}], x) AND NOT regexp_full_match(x, '(\\d{{3,4}}p(\\d{{1,2}})?|x?26[45]|(h|hevc)?d?(rip|cam|ts|tc))')"
+    return f"array_to_string(list_filter(string_split({sql_normalize(c)}, ' '), lambda x: {keep}), ' ')"
+
+
+_PARTS = f"p AS (SELECT p_brand AS channel_id, p_partkey AS idx, {sql_name_norm('p_name')} AS name, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS size, CAST(p_size AS BIGINT) AS duration FROM part)"
+_DOCS = f"d AS (SELECT source AS channel_id, doc_id AS idx, {sql_normalize('text')} AS caption, text FROM documents)"
+_ORDERS = "o AS (SELECT o_custkey AS channel_id, o_orderkey AS idx, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, epoch(o_orderdate)::BIGINT AS duration FROM orders)"
+
+
+# names and texts
+
+
+@query(f"SELECT p_partkey, {sql_name_norm('p_name')} AS name_norm FROM part")
+def norm_names(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", X.name_norm(F.col("p_name")).alias("name_norm"))
+
+
+@query(f"SELECT doc_id, md5({sql_normalize('text')}) AS norm_md5 FROM documents")
+def norm_captions(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.caption_norm(F.col("text"))).alias("norm_md5"))
+
+
+_LABEL = "'Show ' || p_name || (CASE p_partkey % 4 WHEN 0 THEN ' S' || (p_size % 9) || 'E' || (p_partkey % 90) WHEN 1 THEN ' ' || (p_size % 9) || 'x' || (p_partkey % 90) WHEN 2 THEN ' Episode ' || (p_partkey % 90) ELSE '' END)"
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, {sql_normalize(_LABEL)} AS s FROM part)
+SELECT p_partkey, CASE
+  WHEN regexp_matches(s, '\\bs\\s*(\\d{{1,2}})\\s*[\\s._\\-]*e\\s*(\\d{{1,3}})\\b') THEN printf('s%02de%03d', regexp_extract(s, '\\bs\\s*(\\d{{1,2}})\\s*[\\s._\\-]*e\\s*(\\d{{1,3}})\\b', 1)::INT, regexp_extract(s, '\\bs\\s*(\\d{{1,2}})\\s*[\\s._\\-]*e\\s*(\\d{{1,3}})\\b', 2)::INT)
+  WHEN regexp_matches(s, '\\b(\\d{{1,2}})\\s*x\\s*(\\d{{1,3}})\\b') THEN printf('s%02de%03d', regexp_extract(s, '\\b(\\d{{1,2}})\\s*x\\s*(\\d{{1,3}})\\b', 1)::INT, regexp_extract(s, '\\b(\\d{{1,2}})\\s*x\\s*(\\d{{1,3}})\\b', 2)::INT)
+  WHEN regexp_matches(s, '\\bepisode\\s*[._\\-]?\\s*(\\d{{1,3}})\\b') THEN printf('p%03d', regexp_extract(s, '\\bepisode\\s*[._\\-]?\\s*(\\d{{1,3}})\\b', 1)::INT)
+  ELSE '' END AS signature FROM n"""
+)
+def episode_signatures(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    kind = F.when(F.col("p_partkey") % 4 == 0, F.format_string(" S%dE%d", F.col("p_size") % 9, F.col("p_partkey") % 90)).when(F.col("p_partkey") % 4 == 1, F.format_string(" %dx%d", F.col("p_size") % 9, F.col("p_partkey") % 90))
+    kind = kind.when(F.col("p_partkey") % 4 == 2, F.format_string(" Episode %d", F.col("p_partkey") % 90)).otherwise("")
+    return p.select("p_partkey", X.episode_signature(X.normalize(F.concat(F.lit("Show "), "p_name", kind))).alias("signature"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN b <= 0 THEN '?' WHEN b < 1024 THEN regexp_replace(printf('%.2f', b), '\\.?0+$', '') || ' B'
+  WHEN b < 1048576 THEN regexp_replace(printf('%.2f', b / 1024), '\\.?0+$', '') || ' KB' WHEN b < 1073741824 THEN regexp_replace(printf('%.2f', b / 1048576), '\\.?0+$', '') || ' MB'
+  ELSE regexp_replace(printf('%.2f', b / 1073741824), '\\.?0+$', '') || ' GB' END AS bytes,
+  CASE WHEN s <= 0 THEN '?' WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS lasting,
+  CAST(least(100, greatest(0, floor(s * 100 / 5000))) AS INTEGER) AS share
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS DOUBLE) * (o_orderkey % 200) AS b, o_orderkey % 7000 AS s FROM orders)"""
+)
+def human_numbers(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (cents("o_totalprice") * (F.col("o_orderkey") % 200)).alias("b"), (F.col("o_orderkey") % 7000).alias("s"))
+    return o.select("o_orderkey", X.human_bytes(F.col("b")).alias("bytes"), X.human_duration(F.col("s")).alias("lasting"), X.percent(F.col("s"), F.lit(5000)).alias("share"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN e > 0 THEN strftime(make_timestamp((e + 12600) * 1000000), '%Y-%m-%d %H:%M') ELSE '—' END AS local,
+  CASE WHEN user_id % 3 = 0 THEN 'https://host/u' || user_id || '/' || event_id WHEN user_id % 3 = 1 THEN 'https://host/c/' || user_id || '/' || event_id ELSE '' END AS link
+FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM events)"""
+)
+def dates_and_links(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    user = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("@u"), F.col("user_id").cast("string"))).otherwise("")
+    channel = F.when(F.col("user_id") % 3 == 1, F.concat(F.lit("-100"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    return e.select("event_id", X.local_date(F.unix_timestamp("ts")).alias("local"), X.message_link(channel, user, F.col("event_id"), "https://host").alias("link"))
+
+
+@query(
+    """SELECT event_id, user_id * 60 + event_id % 60 AS seconds FROM events"""
+)
+def parsed_durations(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", X.duration_seconds(F.format_string("%d:%02d", "user_id", F.col("event_id") % 60)).alias("seconds"))
+
+
+@query(
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'), ' ')) AS text_md5 FROM pages"""
+)
+def page_texts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("text_md5"))
+
+
+@query()
+def page_posts(spark, sf_dir):
+    """Media posts of pages in the public preview format; the driver's pages hold none, tests hold some."""
+    return posts(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def nfkc_names(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", X.name_norm(X.nfkc(F.col("p_name"))).alias("name_norm"))
+
+
+@query(
+    """SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND NOT event_type LIKE 'x%'"""
+)
+def kind_filter(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("mime", F.when(F.col("event_type").isin("click", "view"), F.lit("video/mp4")).otherwise("image/png"))
+    return e.where(X.kind_ok(F.col("mime"), F.lit(0), F.lit(""), "video+doc")).select("event_id")
+
+
+# candidate pairs
+
+
+@query(
+    f"WITH {_PARTS}, n AS (SELECT channel_id, count(*) AS n FROM p GROUP BY 1) SELECT p.channel_id, p.name AS value, count(*) AS n FROM p JOIN n USING (channel_id) WHERE p.name <> '' GROUP BY p.channel_id, p.name, n.n HAVING count(*) >= greatest(2, floor(n.n * 0.03))"
+)
+def generic_values(spark, sf_dir):
+    return P.generic_values(parts_v(spark, sf_dir), "name_norm", least=2, share=0.03)
+
+
+@query(
+    f"""WITH {_PARTS}, n AS (SELECT channel_id, count(*) AS n FROM p GROUP BY 1),
+t AS (SELECT DISTINCT channel_id, idx, unnest(string_split(name, ' ')) AS token FROM p),
+k AS (SELECT channel_id, token, count(*) AS df FROM t WHERE length(token) >= 2 GROUP BY ALL),
+f AS (SELECT t.* FROM t JOIN k USING (channel_id, token) JOIN n USING (channel_id) WHERE df >= 2 AND df <= greatest(4, least(400, floor(n * 0.05) + 2)))
+SELECT DISTINCT a.channel_id, a.idx AS i, b.idx AS j FROM f a JOIN f b ON a.channel_id = b.channel_id AND a.token = b.token AND a.idx < b.idx"""
+)
+def rare_token_pairs(spark, sf_dir):
+    return P.rare_token_pairs(parts_v(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PARTS}, k AS (SELECT channel_id, idx, split_part(name, ' ', 1) AS head FROM p WHERE name <> ''),
+f AS (SELECT *, count(*) OVER (PARTITION BY channel_id, head) AS n FROM k)
+SELECT DISTINCT a.channel_id, a.idx AS i, b.idx AS j FROM f a JOIN f b ON a.channel_id = b.channel_id AND a.head = b.head AND a.idx < b.idx WHERE a.n BETWEEN 2 AND 60"""
+)
+def bucket_pairs(spark, sf_dir):
+    return P.bucket_pairs(parts_v(spark, sf_dir))
+
+
+_SHARED = f"""{_DOCS}, n AS (SELECT channel_id, count(*) AS n FROM d GROUP BY 1),
+t AS (SELECT DISTINCT channel_id, idx, unnest(string_split(caption, ' ')) AS token FROM d WHERE length(caption) >= 12),
+k AS (SELECT channel_id, token, count(*) AS df FROM t WHERE length(token) >= 3 GROUP BY ALL),
+f AS (SELECT t.* FROM t JOIN k USING (channel_id, token) JOIN n USING (channel_id) WHERE df >= 2 AND df <= greatest(60, floor(n * 0.02))),
+s AS (SELECT a.channel_id, a.idx AS i, b.idx AS j, count(*) AS shared FROM f a JOIN f b ON a.channel_id = b.channel_id AND a.token = b.token AND a.idx < b.idx GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_SHARED} SELECT * FROM s")
+def shared_token_pairs(spark, sf_dir):
+    return P.shared_token_pairs(docs_v(spark, sf_dir))
+
+
+_TELL = "(CASE WHEN len(list_filter({0}, lambda x: length(x) > 1 OR regexp_full_match(x, '\\d'))) > 0 THEN list_filter({0}, lambda x: length(x) > 1 OR regexp_full_match(x, '\\d')) ELSE {0} END)"
+_JACCARD = f"""{_SHARED}, w AS (SELECT channel_id, idx, list_distinct(list_filter(string_split(caption, ' '), lambda x: x <> '')) AS w FROM d),
+v AS (SELECT channel_id, idx, {_TELL.format('w')} AS w FROM w),
+e AS (SELECT s.channel_id, i, j, len(list_intersect(a.w, b.w)) AS common, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS whole FROM s JOIN v a ON a.channel_id = s.channel_id AND a.idx = i JOIN v b ON b.channel_id = s.channel_id AND b.idx = j)"""
+
+
+def _jaccard_edges(spark, sf_dir, least: float) -> DataFrame:
+    d = docs_v(spark, sf_dir)
+    s = P.shared_token_pairs(d)
+    # tokens once a document; shared, frequent or not, must reach the share of the larger set before sets are met
+    sets = d.select("channel_id", "idx", X.token_set(F.col("caption_norm")).alias("t"))
+    a = sets.select("channel_id", F.col("idx").alias("i"), F.col("t").alias("x"))
+    b = sets.select("channel_id", F.col("idx").alias("j"), F.col("t").alias("y"))
+    low, high = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    near = s.join(a, ["channel_id", "i"]).join(b, ["channel_id", "j"]).where(low >= high * least)
+    common = F.size(F.array_intersect("x", "y"))
+    near = near.select("channel_id", "i", "j", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
+    return near.where(F.col("jaccard") >= least)
+
+
+@query(f"WITH {_JACCARD} SELECT channel_id, i, j, common / whole AS jaccard FROM e WHERE common / whole >= 0.6")
+def token_jaccard_pairs(spark, sf_dir):
+    return _jaccard_edges(spark, sf_dir, 0.6)
+
+
+_WINDOW = f"""{_ORDERS}, c AS (SELECT a.channel_id, a.idx AS a, b.idx AS b, a.size = b.size AS exact, b.size AS sb FROM o a JOIN o b ON a.channel_id = b.channel_id
+  AND (b.size > a.size OR (b.size = a.size AND b.idx > a.idx)) AND b.size <= a.size + greatest(2048, round_even(a.size * 0.5 / 100, 0)) WHERE a.size > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY channel_id, a, exact ORDER BY sb, b) AS k FROM c),
+w AS (SELECT DISTINCT channel_id, least(a, b) AS i, greatest(a, b) AS j, exact FROM r WHERE k <= CASE WHEN exact THEN 400 ELSE 240 END)"""
+
+
+@query(f"WITH {_WINDOW} SELECT * FROM w")
+def size_window_pairs(spark, sf_dir):
+    return P.size_window_pairs(orders_v(spark, sf_dir), CFG)
+
+
+_DURATION = f"""{_PARTS}, q AS (SELECT * FROM p WHERE duration >= 3 AND size > 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY channel_id, duration) AS n, count(*) OVER (PARTITION BY channel_id, duration, size) AS m, row_number() OVER (PARTITION BY channel_id, duration ORDER BY size, idx) AS rn FROM q),
+x AS (SELECT DISTINCT a.channel_id, least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j FROM c a JOIN c b ON a.channel_id = b.channel_id AND a.duration = b.duration AND a.idx <> b.idx
+  WHERE (a.n <= 3 AND a.idx < b.idx) OR (a.n > 3 AND a.size = b.size AND a.m <= 3 AND a.idx < b.idx) OR (a.n > 3 AND b.rn > a.rn AND b.rn <= a.rn + 2))"""
+
+
+@query(f"WITH {_DURATION} SELECT * FROM x")
+def duration_pairs(spark, sf_dir):
+    return P.duration_pairs(parts_v(spark, sf_dir), SMALL)
+
+
+@query()
+def candidate_pairs(spark, sf_dir):
+    return P.candidate_pairs(parts_v(spark, sf_dir), SMALL)
+
+
+# signals and clusters
+
+
+@query(
+    f"""WITH {_DURATION}, s AS (SELECT x.channel_id, i, j, a.size AS s1, b.size AS s2, a.duration AS d1, b.duration AS d2, greatest(50, round_even(greatest(a.size, b.size) * 0.5 / 100, 0)) AS tol
+  FROM x JOIN p a ON a.channel_id = x.channel_id AND a.idx = i JOIN p b ON b.channel_id = x.channel_id AND b.idx = j)
+SELECT channel_id, i, j, s1 = s2 AS size_eq, d1 = d2 AS dur_eq, CAST(floor((abs(s1 - s2) / tol) * 1000) AS BIGINT) AS apart FROM s
+WHERE least(s1, s2) >= 100 AND abs(s1 - s2) <= tol AND least(d1, d2) >= 3 AND abs(d1 - d2) <= 2 AND (s1 = s2 OR d1 = d2)"""
+)
+def size_time_edges(spark, sf_dir):
+    p = parts_v(spark, sf_dir)
+    pairs = P.duration_pairs(p, SMALL)
+    edges = S.verify_pairs(pairs, p, SMALL).where("size_time is not null")
+    a, b = p.select("channel_id", F.col("idx").alias("i"), F.col("size").alias("s1")), p.select("channel_id", F.col("idx").alias("j"), F.col("size").alias("s2"))
+    tol = S.size_tolerance(F.col("s1"), F.col("s2"), SMALL)
+    return edges.join(a, ["channel_id", "i"]).join(b, ["channel_id", "j"]).select("channel_id", "i", "j", "size_eq", "dur_eq", F.floor(F.abs(F.col("s1") - F.col("s2")) / tol * 1000).cast("long").alias("apart"))
+
+
+@query("SELECT source AS channel_id, md5(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) >= 2")
+def exact_dup_groups(spark, sf_dir):
+    return docs_v(spark, sf_dir).groupBy("channel_id", "content_hash").agg(F.count("*").alias("n"), F.min("idx").alias("first_id")).where("n >= 2")
+
+
+@query("SELECT a.source AS channel_id, a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON a.source = b.source AND md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+def hash_edges(spark, sf_dir):
+    d = docs_v(spark, sf_dir)
+    pairs = P._self_join(d.select("channel_id", "content_hash", "idx"), ["channel_id", "content_hash"]).select("channel_id", "i", "j")
+    return S.verify_pairs(pairs, d.drop("caption_norm"), CFG).where("hash is not null").select("channel_id", "i", "j")
+
+
+_COMPONENTS = f"""WITH RECURSIVE {_WINDOW}, u AS (SELECT i AS a, j AS b FROM w UNION SELECT j, i FROM w),
+reach AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node),
+m AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+
+
+@query(f"{_COMPONENTS} SELECT node, component FROM m")
+def dup_components(spark, sf_dir):
+    return connected_components(P.size_window_pairs(orders_v(spark, sf_dir), CFG), "i", "j")
+
+
+@query(
+    f"""{_COMPONENTS}, l AS (SELECT component, count(*) AS links FROM w JOIN m ON m.node = w.i GROUP BY 1), n AS (SELECT component, count(*) AS n FROM m GROUP BY 1)
+SELECT component, n, links, round_even(CAST(links AS DOUBLE) / greatest(1, n * (n - 1) // 2), 3) AS density, n >= 3 AND links < n * (n - 1) // 2 AS chain FROM n JOIN l USING (component)"""
+)
+def component_stats(spark, sf_dir):
+    edges = materialize(P.size_window_pairs(orders_v(spark, sf_dir), CFG), "edges").withColumn("size_time", F.lit(1.0)).withColumn("size_eq", F.col("exact")).withColumn("dur_eq", F.lit(False))
+    edges = edges.select("channel_id", "i", "j", *(F.lit(None).cast("double").alias(s) if s != "size_time" else F.col(s) for s in S.STRENGTH), "size_eq", "dur_eq")
+    c = C.describe_clusters(edges, C.loose_clusters(edges))
+    return c.select(F.col("cluster").alias("component"), F.col("count").alias("n"), "links", "density", "chain")
+
+
+def _document_edges(spark, sf_dir) -> DataFrame:
+    d = docs_v(spark, sf_dir)
+    near = _jaccard_edges(spark, sf_dir, 0.6).select("channel_id", "i", "j", F.bround("jaccard", 4).alias("caption"))
+    same = P._self_join(d.select("channel_id", "content_hash", "idx"), ["channel_id", "content_hash"]).select("channel_id", "i", "j", F.lit(1.0).alias("hash"))
+    both = near.join(same, ["channel_id", "i", "j"], "full_outer")
+    return both.select("channel_id", "i", "j", *(F.col(s) if s in ("caption", "hash") else F.lit(None).cast("double").alias(s) for s in S.STRENGTH), F.lit(False).alias("size_eq"), F.lit(False).alias("dur_eq"))
+
+
+@query(
+    f"""WITH RECURSIVE {_JACCARD}, g AS (SELECT channel_id, i, j, round_even(common / whole, 4) AS caption FROM e WHERE common / whole >= 0.6),
+h AS (SELECT a.channel_id, a.idx AS i, b.idx AS j FROM d a JOIN d b ON a.channel_id = b.channel_id AND md5(a.text) = md5(b.text) AND a.idx < b.idx),
+q AS (SELECT channel_id, i, j, g.caption, h.i IS NOT NULL AS hash FROM g FULL JOIN (SELECT *, TRUE AS hash FROM h) h USING (channel_id, i, j)),
+u AS (SELECT i AS a, j AS b FROM q UNION SELECT j, i FROM q),
+reach AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node),
+m AS (SELECT node, min(root) AS cluster FROM reach GROUP BY node),
+l AS (SELECT channel_id, cluster, count(*) AS links, max(caption) AS caption, bool_or(hash) AS hash FROM q JOIN m ON m.node = q.i GROUP BY ALL),
+z AS (SELECT cluster, count(*) AS count FROM m GROUP BY 1)
+SELECT channel_id, cluster, z.count, links, CAST(CASE WHEN hash THEN 4 ELSE 1 END AS INTEGER) AS strength, hash AS exact,
+  array_to_string(list_filter([CASE WHEN hash THEN 'hash' END, CASE WHEN caption IS NOT NULL THEN 'caption' END], lambda x: x IS NOT NULL), ',') AS signals FROM l JOIN z USING (cluster)"""
+)
+def dup_clusters(spark, sf_dir):
+    """Flagship: duplicate clusters of documents by content and by tokens, per source, ranked."""
+    edges = materialize(_document_edges(spark, sf_dir), "edges")
+    c = C.ranked(C.describe_clusters(edges, C.loose_clusters(edges)))
+    return c.select("channel_id", "cluster", "count", "links", "strength", "exact", F.concat_ws(",", "signals").alias("signals"))
+
+
+@query()
+def strict_cliques(spark, sf_dir):
+    edges = materialize(_document_edges(spark, sf_dir), "edges")
+    return C.strict_clusters(edges, C.loose_clusters(edges))
+
+
+@query()
+def verified_edges(spark, sf_dir):
+    """All six signals on the candidate pairs of parts, ratios included."""
+    p = parts_v(spark, sf_dir)
+    return S.verify_pairs(P.candidate_pairs(p, SMALL), p, SMALL)
+
+
+# hashing
+
+
+_PLAN = "CASE WHEN s <= 131072 THEN '0+' || s ELSE array_to_string(list_transform(list_sort(list_distinct([0, greatest(0, ((s // 2 - 65536) // 4096) * 4096), greatest(0, ((s - 131072) // 4096) * 4096)])), lambda x: x || '+' || least(131072, s - x)), ',') END"
+
+
+@query(f"SELECT o_orderkey, {_PLAN} AS scope FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS s FROM orders)")
+def chunk_plans(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", H.scope_text(H.chunk_plan(cents("o_totalprice"))).alias("scope"))
+
+
+@query(
+    "SELECT o_orderkey, count(*) AS chunks, CAST(sum(CAST(ceil(least(524288, s - o) / 4096) AS BIGINT) * 4096) AS BIGINT) AS bytes FROM (SELECT o_orderkey, s, unnest(generate_series(0, s - 1, 524288)) AS o FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS s FROM orders)) GROUP BY 1"
+)
+def full_chunk_plans(spark, sf_dir):
+    plan = H.full_chunk_plan(cents("o_totalprice"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.size(plan).cast("long").alias("chunks"), F.aggregate(plan, F.lit(0).cast("long"), lambda s, c: s + c["len"]).alias("bytes"))
+
+
+@query(f"WITH {_WINDOW}, e AS (SELECT channel_id, i AS idx FROM w UNION SELECT channel_id, j FROM w) SELECT o.channel_id, o.idx, o.size FROM o JOIN e USING (channel_id, idx) WHERE o.size >= 102400 ORDER BY o.channel_id, o.idx LIMIT 4000")
+def hash_plan(spark, sf_dir):
+    o = orders_v(spark, sf_dir)
+    return H.hash_plan(o, P.size_window_pairs(o, CFG), CFG)
+
+
+# the store
+
+
+_OLD = "old AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, o_orderstatus AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE '' END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE '' END AS hash_scope FROM orders WHERE o_orderkey % 5 <> 0)"
+_NEW = "new AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + (CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS size, o_orderstatus AS file_name FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+def _old_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = _t(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    keys = [F.col("o_custkey").alias("channel_id"), key.alias("msg_id")]
+    hashed = key % 3 == 0
+    old = o.where(key % 5 != 0).select(*keys, cents("o_totalprice").alias("size"), F.col("o_orderstatus").alias("file_name"), F.when(hashed, F.md5(key.cast("string"))).otherwise("").alias("content_hash"), F.when(hashed, "full").otherwise("").alias("hash_scope"))
+    new = o.where(key % 2 == 0).select(*keys, (cents("o_totalprice") + (key % 7 == 0).cast("long")).alias("size"), F.col("o_orderstatus").alias("file_name"))
+    return old, new
+
+
+@query(
+    f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.channel_id, n.channel_id) AS channel_id, coalesce(o.msg_id, n.msg_id) AS msg_id, coalesce(n.size, o.size) AS size, coalesce(n.file_name, o.file_name) AS file_name,
+  CASE WHEN n.size <> o.size THEN '' ELSE coalesce(o.content_hash, '') END AS content_hash, CASE WHEN n.size <> o.size THEN '' ELSE coalesce(o.hash_scope, '') END AS hash_scope
+FROM old o FULL JOIN new n ON o.channel_id = n.channel_id AND o.msg_id = n.msg_id"""
+)
+def upsert_files(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    return W.upsert(old, new)
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT o.channel_id, o.msg_id FROM old o JOIN new n ON o.channel_id = n.channel_id AND o.msg_id = n.msg_id WHERE o.content_hash <> '' AND o.size <> n.size")
+def changed_rows(spark, sf_dir):
+    return W.changed_rows(*_old_new(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS channel_id, l_linenumber AS msg_id, max_by(l_quantity, l_partkey * 1000000 + l_suppkey) AS quantity FROM lineitem GROUP BY ALL")
+def latest_in_batch(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("channel_id"), F.col("l_linenumber").alias("msg_id"), F.col("l_quantity").alias("quantity"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"))
+    return W.latest(rows).drop("seq")
+
+
+_KEPT = "f AS (SELECT o_orderkey AS file_id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 4 = 0)), g AS (SELECT o_custkey AS group_id, o_orderkey AS file_id FROM orders JOIN f ON f.file_id = o_orderkey)"
+
+
+@query(f"WITH {_KEPT} SELECT * FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY 1 HAVING count(*) >= 2)")
+def prune_cascade(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("msg_id"), F.col("o_orderkey").alias("idx"), "o_orderstatus")
+    files = W.prune_missing(o, o.where("msg_id % 4 <> 0"), F.col("o_orderstatus") == "F")
+    return W.prune_members(o.select(F.col("channel_id").alias("group_id"), F.col("idx").alias("file_id")), files).select("group_id", "file_id")
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS channel_id, o_orderkey % 3 AS scan_id FROM orders WHERE NOT (o_custkey = 7 AND o_orderkey % 3 <> 1)")
+def reset_results(spark, sf_dir):
+    groups = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("channel_id"), (F.col("o_orderkey") % 3).alias("scan_id"))
+    return W.reset_results(groups, 7, 1)
+
+
+@query(
+    f"WITH {_OLD}, s AS (SELECT channel_id, msg_id, CASE WHEN msg_id % 4 = 0 THEN 'x' ELSE '' END AS content_hash FROM {{}}) SELECT s.channel_id, count(*) FILTER (WHERE o.msg_id IS NULL) AS new, count(*) FILTER (WHERE o.msg_id IS NOT NULL AND o.content_hash = '' AND s.content_hash <> '') AS fills, count(*) FILTER (WHERE o.msg_id IS NOT NULL AND NOT (o.content_hash = '' AND s.content_hash <> '')) AS updates FROM s LEFT JOIN old o ON o.channel_id = s.channel_id AND o.msg_id = s.msg_id GROUP BY 1".replace("{}", "(SELECT o_custkey AS channel_id, o_orderkey AS msg_id FROM orders WHERE o_orderkey % 2 = 0)")
+)
+def import_preview(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    return W.import_preview(old, new.withColumn("content_hash", F.when(F.col("msg_id") % 4 == 0, "x").otherwise("")))
+
+
+@query(f"WITH {_OLD} SELECT channel_id, md5(string_agg(msg_id || ':' || content_hash || ';', '' ORDER BY msg_id)) AS signature, count(*) AS hashed FROM old WHERE content_hash <> '' GROUP BY 1")
+def hash_signature(spark, sf_dir):
+    return W.change_signature(_old_new(spark, sf_dir)[0], ["channel_id"])
+
+
+@query(f"WITH {_OLD} SELECT channel_id, count(*) AS n, max(msg_id) AS last_id, count(*) FILTER (WHERE hash_scope = 'full') AS full_hashes FROM old GROUP BY 1")
+def store_stats(spark, sf_dir):
+    return _old_new(spark, sf_dir)[0].groupBy("channel_id").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"), F.count_if(F.col("hash_scope") == "full").alias("full_hashes"))
+
+
+@query("WITH c AS (SELECT user_id, max(event_id) AS last_id FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT e.user_id AS channel_id, e.event_id AS msg_id FROM events e LEFT JOIN c USING (user_id) WHERE e.event_id > greatest(0, coalesce(c.last_id, 0) - 200)")
+def incremental_tail(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("channel_id"), F.col("event_id").alias("msg_id"))
+    return tail(e, e.where("msg_id % 2 = 0").groupBy("channel_id").agg(F.max("msg_id").alias("last_id")), 200)
+
+
+# results
+
+
+_GROUPS = "g AS (SELECT l_orderkey AS id, CAST(count(*) AS INTEGER) AS strength, count(*) AS count, bool_or(l_returnflag = 'R') AS exact, bool_or(l_linestatus = 'O') AS sizetime FROM lineitem GROUP BY 1)"
+
+
+def _groups(spark, sf_dir) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("count"), F.bool_or(F.col("l_returnflag") == "R").alias("exact"), F.bool_or(F.col("l_linestatus") == "O").alias("sizetime"))
+    return g.withColumn("strength", F.col("count").cast("int")).withColumn("signals", F.array_compact(F.array(F.when(F.col("exact"), F.lit("hash")), F.when(F.col("sizetime"), F.lit("size_time")))))
+
+
+@query(f"WITH {_GROUPS} SELECT id, strength, exact FROM g WHERE strength >= 3 AND sizetime")
+def group_filters(spark, sf_dir):
+    return W.group_filter(_groups(spark, sf_dir), strength_min=3, signal="size_time").select("id", "strength", "exact")
+
+
+@query(f"WITH {_GROUPS} SELECT count(*) AS all_groups, count(*) FILTER (WHERE exact) AS exact_groups, count(*) FILTER (WHERE sizetime) AS sizetime_groups, count(*) FILTER (WHERE exact AND sizetime) AS both_groups FROM g")
+def signal_counts(spark, sf_dir):
+    return _groups(spark, sf_dir).agg(F.count("*").alias("all_groups"), F.count_if("exact").alias("exact_groups"), F.count_if("sizetime").alias("sizetime_groups"), F.count_if(F.col("exact") & F.col("sizetime")).alias("both_groups"))
+
+
+@query(f"WITH {_GROUPS} SELECT id, strength, count FROM g ORDER BY strength DESC, count DESC, id LIMIT 8 OFFSET 16")
+def page_of_groups(spark, sf_dir):
+    return W.page(_groups(spark, sf_dir), [F.desc("strength"), F.desc("count"), "id"], 2, 8).select("id", "strength", "count")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS rank, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN 'original' ELSE 'copy' END AS role FROM orders")
+def original_vs_copies(spark, sf_dir):
+    return W.originals_and_copies(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT * FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lineitem) WHERE running <= 500")
+def forward_budget(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    return W.within_budget(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "q", 500).drop("q")
+
+
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """Our extension: hourly counts of events, as a stream over the files would give them."""
+    schema = _t(spark, sf_dir, "events").schema
+    # the file source wants a folder, or a pattern for a table that is one file
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", cents("value").alias("cents"))
+    name = "event_windows_" + work_dir(spark)[-8:]
+    done = run_to_table(spark, windowed_counts(stream, "ts", "1 hour", "1 day", ["event_type"], "cents"), name, f"{work_dir(spark)}/stream")
+    return done.withColumn("start", F.unix_timestamp("start"))
