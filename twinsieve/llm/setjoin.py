@@ -23,12 +23,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import WordScanner, grams, mix, word_bytes
 from twinsieve.operators.components import connected_components
-from twinsieve.shared import materialize
+from twinsieve.shared import freeing_shuffles, materialize
 
 #: Grams that count as frequent: those in more prefixes than this, and at most MOST_FREQUENT of them.
 FREQUENT = 64
@@ -82,8 +82,20 @@ def sketch(s: np.ndarray, log_bits: int = 8) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _u64(column) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+def large_sketch(s: np.ndarray) -> bytes:
+    """A sketch of two to four places a member: a sixteenth of the set's size or less."""
+    return sketch(s, max(6, int(len(s)).bit_length() + 1)).tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """Distance of two sketches; the longer is folded to the shorter's length, neighbours to their parity."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        bits = np.unpackbits(b).reshape(8 * len(a), -1)
+        b = np.packbits(np.bitwise_xor.reduce(bits, axis=1))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -113,7 +125,8 @@ def frequent_grams(table: DataFrame, frequent: int = FREQUENT, most: int = MOST_
     """Sorted hashes of the grams in more than ``frequent`` prefixes; the threshold rises with the table so that ``most`` is never passed."""
     total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
     least = max(frequent, -(-total // most))
-    rows = table.select(F.explode("prefix").alias("g")).groupBy("g").count().where(F.col("count") > least).select("g").collect()
+    with freeing_shuffles(table.sparkSession):
+        rows = table.select(F.explode("prefix").alias("g")).groupBy("g").count().where(F.col("count") > least).select("g").collect()
     return np.sort(np.array([r.g for r in rows], np.int64).view(np.uint64))
 
 
@@ -301,7 +314,7 @@ def _union(lead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_entries(index: DataFrame, percent: int) -> DataFrame:
-    """The entries that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and the nearest candidate by sketch with its distance."""
+    """The entries, without sketches, that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and the nearest candidate by sketch with its distance."""
     columns = ["gram", "sid", "n", "place", *SKETCH] + ["wide"] * ("wide" in index.columns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +332,10 @@ def near_entries(index: DataFrame, percent: int) -> DataFrame:
                     near[closer], far[closer] = best_y[closer], best_d[closer]
             some = np.flatnonzero(near >= 0)
             if len(some):
-                kept = [pa.array(x[some], pa.binary() if c == "wide" else None) for c, x in zip(columns, now, strict=True)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(now[1][lead[some]]), pa.array(now[1][near[some]]), pa.array(far[some].astype(np.int32))], [*columns, "lead", "near", "far"])
+                kept = [pa.array(x[some]) for x in now[:4]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(now[1][lead[some]]), pa.array(now[1][near[some]]), pa.array(far[some].astype(np.int32))], [*columns[:4], "lead", "near", "far"])
 
-    kinds = ENTRIES + ", wide binary" * ("wide" in index.columns)
-    return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, f"{kinds}, lead long, near long, far int")
+    return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "gram long, sid long, n int, place int, lead long, near long, far int")
 
 
 def _forest(lead: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,8 +354,11 @@ def _forest(lead: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -
         lead = _union(lead, a[first], b[first])
 
 
-def open_pairs(near: DataFrame, percent: int, joining: bool) -> DataFrame:
-    """(a, b) distinct candidates of ``near`` entries whose ``label`` differs: all, or of each list only so many as join its labels."""
+def open_pairs(near: DataFrame, sketches: DataFrame, percent: int, joining: bool) -> DataFrame:
+    """(a, b) distinct candidates of ``near`` entries whose ``label`` differs: all, or of each list only so many as join its labels.
+
+    Lists of one label, as most are, leave before the sketches come in.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH, "label", "wide"]):
@@ -358,40 +373,64 @@ def open_pairs(near: DataFrame, percent: int, joining: bool) -> DataFrame:
                     lead, a, b = _forest(lead, a, b, apart)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(now[1][a], now[1][b])), pa.array(np.maximum(now[1][a], now[1][b]))], ["a", "b"])
 
-    return near.select("gram", "sid", "n", "place", *SKETCH, "label", "wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
+    whole = Window.partitionBy("gram")
+    rows = near.select("gram", "sid", "n", "place", "label").withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high").drop("low", "high")
+    rows = rows.join(sketches, "sid").select("gram", "sid", "n", "place", *SKETCH, "label", "wide")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
 
 
-def of_sets(docs: DataFrame, wanted: DataFrame, n: int, what: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Of the sets in ``wanted`` (sid), once each: (sid, grams), or (sid, wide) of those of WIDE_FROM grams or more.
+def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: int = FILTER_BITS) -> DataFrame:
+    """Of the sets in ``wanted`` (sid), once each: (sid, grams, large, n), or (sid, both sketches), the wide one from WIDE_FROM grams on.
 
     A bitmap of fixed size spares the other sets the shuffle; the join that follows is exact.
     """
     words = wanted.select(F.pmod("sid", F.lit(bits)).alias("b")).groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("x"))
     bitmap = np.zeros(bits // 32, np.uint32)
-    for r in words.collect():
-        bitmap[r.w] = r.x
-    wide = what == "wide"
+    with freeing_shuffles(docs.sparkSession):
+        for r in words.collect():
+            bitmap[r.w] = r.x
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
         for batch in batches:
             for _, sets in scanner.sets(batch.column("text")):
-                out = []
+                ids, kept = [], []
                 for s in sets:
-                    if len(s) >= (WIDE_FROM if wide else 1) and (i := set_id(s)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
+                    if len(s) and (i := set_id(s)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
                         seen.add(i)
-                        out.append((i, sketch(s, WIDE_LOG_BITS).tobytes() if wide else s.view(np.int64)))
+                        ids.append(i)
+                        kept.append(s)
                 if len(seen) > SEEN_SETS:
                     seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary() if wide else pa.list_(pa.int64()))], ["sid", what])
+                if not ids:
+                    continue
+                if sketches:
+                    narrow = np.stack([sketch(s) for s in kept])
+                    wide = [sketch(s, WIDE_LOG_BITS).tobytes() if len(s) >= WIDE_FROM else None for s in kept]
+                    columns = [*(pa.array(np.ascontiguousarray(narrow[:, k])) for k in range(4)), pa.array(wide, pa.binary())]
+                else:
+                    columns = [pa.array([s.view(np.int64) for s in kept], pa.list_(pa.int64())), pa.array([large_sketch(s) for s in kept], pa.binary()), pa.array([len(s) for s in kept], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names)
 
-    found = docs.select("text").mapInArrow(scan, "sid long, wide binary" if wide else "sid long, grams array<long>")
-    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first(what).alias(what))
+    names = ["sid", *SKETCH, "wide"] if sketches else ["sid", "grams", "large", "n"]
+    kinds = ", ".join(f"{c} long" for c in ["sid", *SKETCH]) + ", wide binary" if sketches else "sid long, grams array<long>, large binary, n int"
+    found = docs.select("text").mapInArrow(scan, kinds).join(wanted, "sid", "left_semi")
+    return found.groupBy("sid").agg(*(F.first(c).alias(c) for c in names[1:]))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """The pairs (a, b) whose sets are similar: whole sets are met only where their large sketches allow it."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            most = both - 2 * -(-percent * both // (100 + percent))
+            apart = [sketches_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    a = sets.select(F.col("sid").alias("a"), F.col("large").alias("x"), F.col("n").alias("m"))
+    b = sets.select(F.col("sid").alias("b"), F.col("large").alias("y"), "n")
+    pairs = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(possible, "a long, b long"), "pairs")
     a = sets.select(F.col("sid").alias("a"), F.col("grams").alias("x"))
     b = sets.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -413,10 +452,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     index = entries(docs, n, percent, frequent_grams(table))
     near = materialize(near_entries(index, percent).drop("lead", "near", "far"), "near")
     # once more with the wider sketches, for the few that are left
-    wide = of_sets(docs, near.where(F.col("n") >= WIDE_FROM).select("sid").distinct(), n, "wide")
-    near = materialize(near_entries(near.join(wide, "sid", "left"), percent), "near")
-    sets = materialize(of_sets(docs, near.select("sid").distinct(), n, "grams"), "sets")
-
+    sketches = materialize(of_sets(docs, near.select("sid").distinct(), n, True), "sketches")
+    near = materialize(near_entries(near.join(sketches, "sid"), percent), "near")
+    sets = materialize(of_sets(docs, near.select("sid").distinct(), n, False), "sets")
     # two verifications a set at most: the first set it hangs together with, and the nearest
     best = near.groupBy("sid").agg(F.min("lead").alias("lead"), F.min(F.struct("far", "near")).getField("near").alias("near"))
     first = best.select("sid", F.explode(F.array("lead", "near")).alias("other")).where("sid <> other")
@@ -426,7 +464,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     for joining in (True, False):
         answers = connected_components(links, "a", "b")
         labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-        more = verify(open_pairs(labelled, percent, joining), sets, percent)
+        more = verify(open_pairs(labelled, sketches, percent, joining), sets, percent)
         links = materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
     answers = connected_components(links, "a", "b")
 
