@@ -35,7 +35,7 @@ FREQUENT = 64
 MOST_FREQUENT = 65_536
 #: Bits of the fixed filter of sets that have a candidate.
 FILTER_BITS = 1 << 23
-SEEN_SETS = 200_000
+SEEN_SETS = 50_000
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Sets of this size or more get a second sketch of 2**WIDE_LOG_BITS places before they are verified: 256 are too few for them.
 WIDE_FROM = 64
