@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ PAD = 256
 #: The bounded sample: documents of each language, and bytes of each.
 DOCS_PER_LANG = 300
 TRAIN_BYTES = 512
+#: The range of hashes is counted in 2**PARTS_LOG parts before documents are ranked.
+PARTS_LOG = 8
 STEPS = 260
 BATCH = 192
 BLOCK = 4096
@@ -198,14 +202,26 @@ def document_distributions(net: Net, data: np.ndarray, offsets: np.ndarray) -> n
 
 
 def training_rows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, n_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], list[str]]:
-    """The bounded sample: of each language the ``docs_per_lang`` documents with the least hash of the text, ``n_bytes`` from a place the hash picks."""
+    """The bounded sample: of each language the ``docs_per_lang`` different texts of least hash, ``n_bytes`` from a place the hash picks.
+
+    A histogram of the hashes, 2**PARTS_LOG rows a language, tells which parts of their range hold these;
+    only rows in them are ranked. Copies count once, so a large group of them can't fill the sample.
+    """
     h = F.xxhash64("text", F.lit("train"))
-    least = Window.partitionBy("lang").orderBy("h", "doc_id")
+    piece = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(text), greatest(1, length(text) - {n_bytes})) as int), {n_bytes})")
+    usable = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("lang", h.alias("h"), F.shiftright(h, 64 - PARTS_LOG).alias("part"), piece.alias("piece"))
+    counts = usable.select("lang", "h", "part").distinct().groupBy("lang", "part").count()
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < docs_per_lang).groupBy("lang").agg(F.max("part").alias("part")).collect()
+    if not last:
+        return [], []
+    wanted = reduce(or_, ((F.col("lang") == r.lang) & (F.col("part") <= r.part) for r in last))
     rows = (
-        docs.where("lang is not null and text is not null")
-        .where(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", h.alias("h"), F.expr(f"substring(text, 1 + cast(pmod(xxhash64(text), greatest(1, length(text) - {n_bytes})) as int), {n_bytes})").alias("piece"))
-        .withColumn("k", F.row_number().over(least))
+        usable.where(wanted)
+        .select("lang", "h", "piece")
+        .dropDuplicates(["lang", "h"])
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .where(F.col("k") <= docs_per_lang)
         .select("lang", "piece")
         .collect()
