@@ -103,6 +103,20 @@ def test_size_pairs_match_plain_python(spark):
     assert got == want
 
 
+def test_full_buckets_lose_no_pair(spark, tmp_path):
+    """Queries over parts: 30 of one brand, size and price range, all of equal duration, against plain Python; caps only where a config sets them."""
+    rows = [(k, "Brand#1", f"part {k}", 900.0 + (k % 7) * 0.2, 5) for k in range(30)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    for name in ("duration_pairs", "candidate_pairs", "size_time_edges", "verified_edges"):
+        got = [(r["i"], r["j"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, name
+    files = catalog.parts_v(spark, str(tmp_path))
+    tiny = {(r["i"], r["j"]) for r in P.duration_pairs(files, MatchConfig(duration_pair_cap=3, duration_dense_window=2)).collect()}
+    order = sorted(range(30), key=lambda k: (k % 7, k))
+    assert tiny == {tuple(sorted((order[a], order[b]))) for a in range(30) for b in range(a + 1, min(30, a + 3))}
+
+
 def test_components_and_cliques(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (5, 5), (None, 7)], "i long, j long")
     got = {r["node"]: r["component"] for r in connected_components(chain, "i", "j").collect()}

@@ -20,8 +20,8 @@ from twinsieve.shared import materialize, work_dir
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 CFG = MatchConfig()
-#: Part names are short and prices small: the size signals' floors are lowered to their scale.
-SMALL = MatchConfig(size_tol_min=50, min_size_for_match=100, dur_tol_s=2.0, duration_pair_cap=3, duration_dense_window=2, size_pair_cap=8, size_pair_exact_cap=8)
+#: Part names are short and prices small: the size signals' floors are lowered to their scale. No pair is left out by a cap.
+SMALL = MatchConfig(size_tol_min=50, min_size_for_match=100, dur_tol_s=2.0, exhaustive_pairs=True)
 
 
 def query(sql: str | None = None):
