@@ -134,6 +134,14 @@ def test_chunks_and_hash(spark):
     assert got == hashlib.sha256(b"20000" + b"0" + data).hexdigest()[:32]
 
 
+def test_hash_limit_holds_within_a_channel(spark):
+    files = spark.createDataFrame([(c, 10 * c + k, 200_000) for c in (1, 2, 3) for k in range(2 + c)], "channel_id long, idx long, size long")
+    cfg = MatchConfig(hash_mode="all", hash_max_ids=4)
+    got = sorted((r["channel_id"], r["idx"]) for r in H.hash_plan(files, None, cfg).collect())
+    assert got == [(c, 10 * c + k) for c in (1, 2, 3) for k in range(min(4, 2 + c))]
+    assert [tuple(r) for r in H.hash_capped(files, None, cfg).collect()] == [(3, 1)]
+
+
 def test_upsert_keeps_and_clears_hashes(spark):
     old = spark.createDataFrame([(1, 1, 10, "a", "h1", "full"), (1, 2, 20, "b", "h2", "full")], "channel_id int, msg_id int, size int, file_name string, content_hash string, hash_scope string")
     new = spark.createDataFrame([(1, 2, 21, "b"), (1, 3, 30, "c")], "channel_id int, msg_id int, size int, file_name string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.config import MatchConfig
@@ -42,15 +42,25 @@ def content_hash(size: Column, content: Column, plan: Column, full: bool) -> Col
     return F.substring(F.sha2(chunks, 256), 1, 32)
 
 
-def hash_plan(files: DataFrame, pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """(channel_id, idx, size) to hash: none, all, or ends of candidate pairs, of the least size; at most ``hash_max_ids``, a limit of the feature."""
+def _wanted(files: DataFrame, pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Files to hash, with ``k``: the place in the order of idx within the channel."""
     big = files.where(F.coalesce("size", F.lit(0)) >= cfg.min_size_for_match).select("channel_id", "idx", "size")
     if cfg.hash_mode == "off":
-        return big.limit(0)
-    if cfg.hash_mode == "candidates":
+        big = big.limit(0)
+    elif cfg.hash_mode == "candidates":
         ends = pairs.select("channel_id", F.explode(F.array("i", "j")).alias("idx")).distinct()
         big = big.join(ends, ["channel_id", "idx"], "left_semi")
-    return big.orderBy("channel_id", "idx").limit(cfg.hash_max_ids)
+    return big.withColumn("k", F.row_number().over(Window.partitionBy("channel_id").orderBy("idx")))
+
+
+def hash_plan(files: DataFrame, pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(channel_id, idx, size) to hash: none, all, or ends of candidate pairs, of the least size; at most ``hash_max_ids`` a channel, a limit of the feature."""
+    return _wanted(files, pairs, cfg).where(F.col("k") <= cfg.hash_max_ids).drop("k")
+
+
+def hash_capped(files: DataFrame, pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(channel_id, hash_capped): how many files of a channel ``hash_plan`` leaves out for its limit, where any."""
+    return _wanted(files, pairs, cfg).where(F.col("k") > cfg.hash_max_ids).groupBy("channel_id").agg(F.count("*").alias("hash_capped"))
 
 
 def needs_hash(cfg: MatchConfig = MatchConfig()) -> Column:
