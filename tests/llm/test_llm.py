@@ -219,6 +219,28 @@ def test_jaccard_against_all_pairs(spark):
     assert setjoin.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_numbers_of_links_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(90)]
+    rows = [(1, None), (2, ""), (3, "alone here and nowhere else")]
+    for k in range(60):  # near copies of one text and of another, some apart from each other, some equal
+        w = base[:] if k % 3 else base[:40] + ["other"]
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(8)}"
+        rows.append((10 + k, " ".join(w)))
+    rows += [(100 + k, rows[20][1]) for k in range(3)]
+    sets = {i: frozenset(zip(w, w[1:], w[2:], strict=False)) for i, t in rows for w in [words(t or "")]}
+    want = {i: sum(j != i and bool(s) and 100 * len(s & t) >= 90 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    assert len(set(want.values())) > 3
+    docs = frame(spark, rows)
+    assert {r["doc_id"]: r["n_links"] for r in setjoin.jaccard_components(docs, links=True).collect()} == want
+    # many sides and matrices a component
+    square = setjoin.link_counts
+    monkeypatch.setattr(setjoin, "link_counts", lambda *a: square(*a, most=500))
+    monkeypatch.setattr(setjoin, "MATRIX_PLACES", 64)
+    assert {r["doc_id"]: r["n_links"] for r in setjoin.jaccard_components(docs, links=True).collect()} == want
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     item = [f"w{rng.randrange(1000)}" for _ in range(40)]

@@ -64,7 +64,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90, links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 QUERIES = {

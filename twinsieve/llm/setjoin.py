@@ -12,6 +12,9 @@ a gram in their prefixes. Each gram's list is ordered by set size and taken in b
   answer, its component; only pairs between different answers are looked at again. So a large group
   of near copies costs about as many verifications as it has members, not as it has pairs.
 
+Numbers of links, where asked for, come after that: links lie within components, so each component's
+sets are dealt to squares of bounded size, and a square intersects all its sets at once.
+
 Copies are one set from the start. Verification intersects whole sets. All tables stay distributed;
 what reaches the driver is the frequent grams and one bitmap, both of fixed bounded size.
 """
@@ -36,6 +39,9 @@ MOST_FREQUENT = 65_536
 #: Bits of the fixed filter of sets that have a candidate.
 FILTER_BITS = 1 << 23
 SEEN_SETS = 50_000
+#: Grams of the sets on a side of a square, about, and places of the matrix that intersects them at a time.
+SQUARE_GRAMS = 1 << 19
+MATRIX_PLACES = 1 << 22
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: Sets of this size or more get a second sketch of 2**WIDE_LOG_BITS places before they are verified: 256 are too few for them.
 WIDE_FROM = 64
@@ -438,13 +444,95 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id, group_id, text_hash) of every row of ``docs`` (doc_id, text).
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all x with all y, by products of 0/1 matrices over some grams at a time."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate(side) for side in (x, y)]
+    shared = np.intersect1d(*flat)
+    rows, grams_ = [], []
+    for side, all_ in zip((x, y), flat, strict=True):
+        at = np.searchsorted(shared, all_)
+        hit = np.flatnonzero(at < len(shared))
+        hit = hit[shared[at[hit]] == all_[hit]]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        rows.append(np.repeat(np.arange(len(side)), [len(s) for s in side])[order])
+        grams_.append(at[order])
+    step = max(1, MATRIX_PLACES // (len(x) + len(y)))
+    for k in range(0, len(shared), step):
+        width = min(step, len(shared) - k)
+        parts = []
+        for side, r, g in zip((x, y), rows, grams_, strict=True):
+            at = slice(*np.searchsorted(g, [k, k + width]))
+            m = np.zeros((len(side), width), np.float32)
+            m[r[at], g[at] - k] = 1
+            parts.append(m)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(answers: DataFrame, sets: DataFrame, copies: DataFrame, percent: int, most: int = SQUARE_GRAMS) -> DataFrame:
+    """(sid, links): for every set of a component (node, component) the rows, ``copies`` (sid, copies) of each, of other sets similar to it.
+
+    A component's sets are dealt by id into sides of about ``most`` grams, and each two sides make a square.
+    """
+    rows = answers.withColumnRenamed("node", "sid").join(sets.select("sid", "grams", "n"), "sid").join(copies, "sid")
+    sides = rows.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("sides"))
+    rows = rows.join(sides, "component").withColumn("side", F.pmod(F.xxhash64("sid"), "sides").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select("component", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "sid", "copies", "grams")
+
+    def square(p: int, q: int, held: list[tuple]) -> tuple[list[int], list[int]]:
+        a = [h for h in held if h[0] == p]
+        b = a if p == q else [h for h in held if h[0] == q]
+        if not a or not b:
+            return [], []
+        x, y = ([h[3] for h in side] for side in (a, b))
+        common = _common(x, y)
+        m, n = (np.array([len(s) for s in side], np.int64) for side in (x, y))
+        alike = common * 100 >= (m[:, None] + n[None, :] - common) * percent
+        if p == q:
+            np.fill_diagonal(alike, False)
+        ids, found = [h[1] for h in a], alike @ np.array([h[2] for h in b], np.int64)
+        if p != q:
+            ids, found = ids + [h[1] for h in b], np.concatenate([found, np.array([h[2] for h in a], np.int64) @ alike])
+        return ids, found.tolist()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ids, links = None, [], [], []
+        for batch in _then_none(batches):
+            if batch is None:
+                keys = [None]
+            else:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "p", "q")), strict=True))
+                side, sid, copies_ = (batch.column(c).to_pylist() for c in ("side", "sid", "copies"))
+                lists = batch.column("grams")
+            for k, now in enumerate(keys):
+                if now != key:
+                    if held:
+                        i, found = square(key[1], key[2], held)
+                        ids += i
+                        links += found
+                    key, held = now, []
+                if now is not None:
+                    # a copy, so that no held set keeps its batch
+                    held.append((side[k], sid[k], copies_[k], lists[k].values.to_numpy().copy()))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], ["sid", "links"])
+                ids, links = [], []
+
+    keys = ["component", "p", "q"]
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, "sid long, links long")
+    return found.groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, group_id, text_hash) of every row of ``docs`` (doc_id, text), with ``links`` also n_links.
 
     Rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the
     smallest doc_id reachable by links. Null or empty texts have no grams and are their own
     component; equal texts are one set. Null ids stay, and do not name a component others join.
     group_id names the group of linked rows apart from doc_ids, which may repeat (null: no grams).
+    n_links is the number of other rows a row links to, copies among them.
     An empty table gives no rows; other columns are not read. Sets are told apart by 63-bit ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -459,20 +547,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     best = near.groupBy("sid").agg(F.min("lead").alias("lead"), F.min(F.struct("far", "near")).getField("near").alias("near"))
     first = best.select("sid", F.explode(F.array("lead", "near")).alias("other")).where("sid <> other")
     first = first.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    links = materialize(verify(first, sets, percent), "links")
+    edges = materialize(verify(first, sets, percent), "links")
     # then so many as join the answers met in a list, and at last all that are still open
     for joining in (True, False):
-        answers = connected_components(links, "a", "b")
+        answers = connected_components(edges, "a", "b")
         labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
         more = verify(open_pairs(labelled, sketches, percent, joining), sets, percent)
-        links = materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
-    answers = connected_components(links, "a", "b")
+        edges = materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
+    answers = connected_components(edges, "a", "b")
 
     least = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(answers.withColumnRenamed("node", "sid"), "sid", "left")
     linked = least.where("component is not null")
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
     named = linked.join(roots, "component").select("sid", F.col("component").alias("group_id"), F.col("root").alias("component_id"))
     named = named.unionByName(least.where("component is null").select("sid", F.col("sid").alias("group_id"), F.col("least").alias("component_id")))
-    columns = ["doc_id", "n_shingles", "component_id", "group_id", "text_hash"]
-    rows = table.where("sid is not null").join(named, "sid", "left").select(columns)
+    columns = ["doc_id", "n_shingles", "component_id", "group_id", "text_hash"] + ["n_links"] * links
+    if links:
+        copies = table.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+        counts = copies.join(link_counts(answers, sets, copies, percent), "sid", "left")
+        named = named.join(counts.select("sid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "sid")
+        table = table.withColumn("n_links", F.lit(0).cast("long"))
+    rows = table.where("sid is not null").drop("n_links").join(named, "sid", "left").select(columns)
     return rows.unionByName(table.where("sid is null").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.col("sid")).select(columns))
