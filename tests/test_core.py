@@ -150,6 +150,19 @@ def test_upsert_keeps_and_clears_hashes(spark):
     assert [r["msg_id"] for r in W.changed_rows(old, new).collect()] == [2]
 
 
+def test_store_queries_read_all_orders(spark):
+    """Against plain Python over every order, keys divisible by 5 included."""
+    channels = {}
+    for key, cust in duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{SF}/orders.parquet'").fetchall():
+        channels.setdefault(cust, []).append(key)
+    got = {r["channel_id"]: (r["n"], r["last_id"], r["full_hashes"]) for r in catalog.store_stats(spark, SF).collect()}
+    assert got == {c: (len(k), max(k), sum(x % 3 == 0 for x in k)) for c, k in channels.items()}
+    hashed = {c: [x for x in sorted(k) if x % 3 == 0] for c, k in channels.items()}
+    text = {c: "".join(f"{x}:{hashlib.md5(str(x).encode()).hexdigest()};" for x in k) for c, k in hashed.items() if k}
+    got = {r["channel_id"]: (r["signature"], r["hashed"]) for r in catalog.hash_signature(spark, SF).collect()}
+    assert got == {c: (hashlib.md5(t.encode()).hexdigest(), len(hashed[c])) for c, t in text.items()}
+
+
 def test_pages(spark):
     block = '<div class="tgme_widget_message_wrap x"><div data-post="chan/7"><i class="js-message_video_duration">0:27</i><div class="tgme_widget_message_text js" dir="auto">Film.mkv<br/>a &amp; b</div><div></div><time datetime="2026-10-05T18:32:11+00:00"></time></div>'
     rows = posts(spark.createDataFrame([("<html>" + block,), (None,), ("",)], "html string")).collect()

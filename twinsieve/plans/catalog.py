@@ -386,12 +386,19 @@ _OLD = "old AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor
 _NEW = "new AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + (CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS size, o_orderstatus AS file_name FROM orders WHERE o_orderkey % 2 = 0)"
 
 
+def _store(spark, sf_dir) -> DataFrame:
+    """All orders as stored files."""
+    key = F.col("o_orderkey")
+    hashed = key % 3 == 0
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), key.alias("msg_id"), cents("o_totalprice").alias("size"), F.col("o_orderstatus").alias("file_name"), F.when(hashed, F.md5(key.cast("string"))).otherwise("").alias("content_hash"), F.when(hashed, "full").otherwise("").alias("hash_scope"))
+
+
 def _old_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two synthetic versions of the store that overlap in part."""
     o = _t(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     keys = [F.col("o_custkey").alias("channel_id"), key.alias("msg_id")]
-    hashed = key % 3 == 0
-    old = o.where(key % 5 != 0).select(*keys, cents("o_totalprice").alias("size"), F.col("o_orderstatus").alias("file_name"), F.when(hashed, F.md5(key.cast("string"))).otherwise("").alias("content_hash"), F.when(hashed, "full").otherwise("").alias("hash_scope"))
+    old = _store(spark, sf_dir).where(F.col("msg_id") % 5 != 0)
     new = o.where(key % 2 == 0).select(*keys, (cents("o_totalprice") + (key % 7 == 0).cast("long")).alias("size"), F.col("o_orderstatus").alias("file_name"))
     return old, new
 
@@ -443,12 +450,12 @@ def import_preview(spark, sf_dir):
 
 @query(f"WITH {_OLD} SELECT channel_id, md5(string_agg(msg_id || ':' || content_hash || ';', '' ORDER BY msg_id)) AS signature, count(*) AS hashed FROM old WHERE content_hash <> '' GROUP BY 1")
 def hash_signature(spark, sf_dir):
-    return W.change_signature(_old_new(spark, sf_dir)[0], ["channel_id"])
+    return W.change_signature(_store(spark, sf_dir), ["channel_id"])
 
 
 @query(f"WITH {_OLD} SELECT channel_id, count(*) AS n, max(msg_id) AS last_id, count(*) FILTER (WHERE hash_scope = 'full') AS full_hashes FROM old GROUP BY 1")
 def store_stats(spark, sf_dir):
-    return _old_new(spark, sf_dir)[0].groupBy("channel_id").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"), F.count_if(F.col("hash_scope") == "full").alias("full_hashes"))
+    return _store(spark, sf_dir).groupBy("channel_id").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"), F.count_if(F.col("hash_scope") == "full").alias("full_hashes"))
 
 
 @query("WITH c AS (SELECT user_id, max(event_id) AS last_id FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT e.user_id AS channel_id, e.event_id AS msg_id FROM events e LEFT JOIN c USING (user_id) WHERE e.event_id > greatest(0, coalesce(c.last_id, 0) - 200)")
