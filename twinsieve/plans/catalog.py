@@ -248,9 +248,7 @@ def size_window_pairs(spark, sf_dir):
 
 
 _DURATION = f"""{_PARTS}, q AS (SELECT * FROM p WHERE duration >= 3 AND size > 0),
-c AS (SELECT *, count(*) OVER (PARTITION BY channel_id, duration) AS n, count(*) OVER (PARTITION BY channel_id, duration, size) AS m, row_number() OVER (PARTITION BY channel_id, duration ORDER BY size, idx) AS rn FROM q),
-x AS (SELECT DISTINCT a.channel_id, least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j FROM c a JOIN c b ON a.channel_id = b.channel_id AND a.duration = b.duration AND a.idx <> b.idx
-  WHERE (a.n <= 3 AND a.idx < b.idx) OR (a.n > 3 AND a.size = b.size AND a.m <= 3 AND a.idx < b.idx) OR (a.n > 3 AND b.rn > a.rn AND b.rn <= a.rn + 2))"""
+x AS (SELECT a.channel_id, a.idx AS i, b.idx AS j FROM q a JOIN q b ON a.channel_id = b.channel_id AND a.duration = b.duration AND a.idx < b.idx)"""
 
 
 @query(f"WITH {_DURATION} SELECT * FROM x")
@@ -373,7 +371,7 @@ def full_chunk_plans(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", F.size(plan).cast("long").alias("chunks"), F.aggregate(plan, F.lit(0).cast("long"), lambda s, c: s + c["len"]).alias("bytes"))
 
 
-@query(f"WITH {_WINDOW}, e AS (SELECT channel_id, i AS idx FROM w UNION SELECT channel_id, j FROM w) SELECT o.channel_id, o.idx, o.size FROM o JOIN e USING (channel_id, idx) WHERE o.size >= 102400 ORDER BY o.channel_id, o.idx LIMIT 4000")
+@query(f"WITH {_WINDOW}, e AS (SELECT channel_id, i AS idx FROM w UNION SELECT channel_id, j FROM w) SELECT o.channel_id, o.idx, o.size FROM o JOIN e USING (channel_id, idx) WHERE o.size >= 102400 QUALIFY row_number() OVER (PARTITION BY o.channel_id ORDER BY o.idx) <= 4000")
 def hash_plan(spark, sf_dir):
     o = orders_v(spark, sf_dir)
     return H.hash_plan(o, P.size_window_pairs(o, CFG), CFG)
@@ -382,7 +380,8 @@ def hash_plan(spark, sf_dir):
 # the store
 
 
-_OLD = "old AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, o_orderstatus AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE '' END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE '' END AS hash_scope FROM orders WHERE o_orderkey % 5 <> 0)"
+_STORE = "store AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, o_orderstatus AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE '' END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE '' END AS hash_scope FROM orders)"
+_OLD = f"{_STORE}, old AS (SELECT * FROM store WHERE msg_id % 5 <> 0)"
 _NEW = "new AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + (CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS size, o_orderstatus AS file_name FROM orders WHERE o_orderkey % 2 = 0)"
 
 
@@ -448,12 +447,12 @@ def import_preview(spark, sf_dir):
     return W.import_preview(old, new.withColumn("content_hash", F.when(F.col("msg_id") % 4 == 0, "x").otherwise("")))
 
 
-@query(f"WITH {_OLD} SELECT channel_id, md5(string_agg(msg_id || ':' || content_hash || ';', '' ORDER BY msg_id)) AS signature, count(*) AS hashed FROM old WHERE content_hash <> '' GROUP BY 1")
+@query(f"WITH {_STORE} SELECT channel_id, md5(string_agg(msg_id || ':' || content_hash || ';', '' ORDER BY msg_id)) AS signature, count(*) AS hashed FROM store WHERE content_hash <> '' GROUP BY 1")
 def hash_signature(spark, sf_dir):
     return W.change_signature(_store(spark, sf_dir), ["channel_id"])
 
 
-@query(f"WITH {_OLD} SELECT channel_id, count(*) AS n, max(msg_id) AS last_id, count(*) FILTER (WHERE hash_scope = 'full') AS full_hashes FROM old GROUP BY 1")
+@query(f"WITH {_STORE} SELECT channel_id, count(*) AS n, max(msg_id) AS last_id, count(*) FILTER (WHERE hash_scope = 'full') AS full_hashes FROM store GROUP BY 1")
 def store_stats(spark, sf_dir):
     return _store(spark, sf_dir).groupBy("channel_id").agg(F.count("*").alias("n"), F.max("msg_id").alias("last_id"), F.count_if(F.col("hash_scope") == "full").alias("full_hashes"))
 
