@@ -16,6 +16,7 @@ from twinsieve.operators import signals as S
 from twinsieve.operators import store as W
 from twinsieve.operators.components import connected_components
 from twinsieve.plans import catalog
+from twinsieve.shared import materialize
 from twinsieve.sources import snapshot
 from twinsieve.sources.pages import posts
 from twinsieve.streaming.ingest import upsert_stream
@@ -23,19 +24,19 @@ from twinsieve.streaming.ingest import upsert_stream
 SF = "/root/testdata/sf0.001"
 MB = 1 << 20
 FILES = [
-    (101, "Black.Mirror.S01E01.1080p.WEB-DL.x265.mkv", 200 * MB, 3600, "قسمت اول فصل یک", 9001),
-    (102, "Black.Mirror.S01E01.1080p.WEB-DL.x265 (copy).mkv", 200 * MB, 3600, "قسمت اول فصل یک", 9002),
-    (110, "Inception.2010.1080p.BluRay.x264.mkv", 180 * MB, 8880, "فیلم اینسپشن دوبله", 9010),
-    (111, "Inception.2010.720p.BluRay.x264.mkv", 180 * MB, 8880, "فیلم اینسپشن دوبله", 9011),
-    (120, "clip-a401.mp4", 12 * MB, 143, "برنامهٔ ویژهٔ هفتهٔ اول پاییز با اجرای مهمان", 9020),
-    (121, "clip-b902.mp4", 9 * MB, 121, "برنامهٔ ویژهٔ هفتهٔ اول پاییز با اجرای مهمان", 9021),
-    (130, "recording_1402_05_11.mp4", 50 * MB, 60, "", 9030),
-    (131, "zaban-3-final.mp4", 50 * MB, 60, "", 9031),
-    (132, "IMG_8842.mp4", 50 * MB, 61, "", 9032),
-    (140, "Series.X.S01E01.1080p.mkv", 100 * MB, 2400, "قسمت ۱", 9040),
-    (141, "Series.X.S01E02.1080p.mkv", 101 * MB, 2410, "قسمت ۲", 9041),
-    (142, "Series.X.S01E03.1080p.mkv", 99 * MB, 2395, "قسمت ۳", 9042),
-    (150, "Unique.Lecture.mp4", 77 * MB, 1800, "درسِ یگانه", 9050),
+    (1, "Harbour.Lights.S02E03.720p.WEBRip.x264.mkv", 310 * MB, 2710, "پرده‌ی سوم از فصل دوم", 71),
+    (2, "Harbour.Lights.S02E03.720p.WEBRip.x264 - copy.mkv", 310 * MB, 2710, "پرده‌ی سوم از فصل دوم", 72),
+    (3, "Quiet.Orchard.1998.1080p.BluRay.mkv", 145 * MB, 6320, "باغ خاموش نسخه اول", 73),
+    (4, "Quiet.Orchard.1998.480p.BluRay.mkv", 145 * MB, 6320, "باغ خاموش نسخه اول", 74),
+    (5, "part-q17.mp4", 21 * MB, 205, "گزارش کامل جشنواره تابستانی دانش آموزان شهر", 75),
+    (6, "upload-z88.mp4", 16 * MB, 188, "گزارش کامل جشنواره تابستانی دانش آموزان شهر", 76),
+    (7, "cam_front_0042.mp4", 33 * MB, 95, "", 77),
+    (8, "lesson-nine-draft.mp4", 33 * MB, 95, "", 78),
+    (9, "VID-7731.mp4", 33 * MB, 96, "", 79),
+    (10, "Tide.S05E07.1080p.mkv", 120 * MB, 1500, "بخش ۷", 80),
+    (11, "Tide.S05E08.1080p.mkv", 122 * MB, 1520, "بخش ۸", 81),
+    (12, "Tide.S05E09.1080p.mkv", 118 * MB, 1480, "بخش ۹", 82),
+    (13, "Lone.Workshop.mp4", 64 * MB, 900, "کارگاه تنها", 83),
 ]
 
 
@@ -48,11 +49,11 @@ def one(spark, column, **row):
 def catalogue(spark):
     rows = [(55, m, n, s, d, c, i, f"U{m}") for m, n, s, d, c, i in FILES]
     f = spark.createDataFrame(rows, "channel_id long, idx long, file_name string, size long, duration long, caption string, doc_id long, file_unique_id string")
-    return f.withColumn("name_norm", X.name_norm(X.nfkc(F.col("file_name")))).withColumn("caption_norm", X.caption_norm(X.nfkc(F.col("caption"))))
+    return materialize(f.withColumn("name_norm", X.name_norm(F.col("file_name"))).withColumn("caption_norm", X.caption_norm(F.col("caption"))))
 
 
 def test_normalize(spark):
-    assert one(spark, X.normalize(F.col("t")), t="Ali_Reza @someone https://x.y/z ۱۲٣ كتاب😀!") == "ali_reza 123 کتاب"
+    assert one(spark, X.normalize(F.col("t")), t="Ali_Reza @someone https://x.y/z ۱۲٣ كتاب😀! ﬁne Ａ１") == "ali_reza 123 کتاب fine a1"
     assert one(spark, X.name_norm(F.col("t")), t="Inception.2010.1080p.BluRay.x264.mkv") == "inception 2010"
     assert one(spark, X.normalize(F.col("t")), t="") == ""
 
@@ -78,20 +79,59 @@ def test_ratio_is_difflibs(spark):
     assert got == pytest.approx([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs])
 
 
+def groups_of(members):
+    out = {}
+    for r in members.collect():
+        out.setdefault(r["cluster"], set()).add(r["idx"])
+    return sorted(map(sorted, out.values()))
+
+
 def test_four_clusters(spark, catalogue):
-    edges = S.verify_pairs(P.candidate_pairs(catalogue), catalogue)
-    c = C.describe_clusters(edges, C.loose_clusters(edges)).collect()
-    assert sorted(sorted(r["ids"]) for r in c) == [[101, 102], [110, 111], [120, 121], [130, 131, 132]]
-    by = {r["ids"][0]: r for r in c}
-    assert by[130]["sizetime"] and by[130]["strength"] == 3 and not by[130]["exact"]
+    clusters, members = C.find_clusters(catalogue)
+    assert groups_of(members) == [[1, 2], [3, 4], [5, 6], [7, 8, 9]]
+    by = {r["first_id"]: r for r in clusters.collect()}
+    assert by[7]["sizetime"] and by[7]["strength"] == 3 and not by[7]["exact"]
+    assert by[5]["signals"] == ["caption"] and by[5]["reason"] == "caption" and by[5]["score"] == 1.0
+    assert by[1]["reason"] == "name + caption + size_time:exact" and [r["first_id"] for r in C.ranked(clusters).collect()][0] == 7
+    # a limited scan of row 2: its cluster alone
+    _, members = C.find_clusters(catalogue, fresh=catalogue.where("idx = 2"))
+    assert groups_of(members) == [[1, 2]]
 
 
 def test_full_hash_is_exact(spark, catalogue):
-    same = F.when(F.col("idx").isin(101, 102), "h").otherwise("")
-    f = catalogue.withColumn("content_hash", same).withColumn("hash_scope", F.when(same != "", "full").otherwise(""))
-    edges = S.verify_pairs(P.candidate_pairs(f), f)
-    by = {r["ids"][0]: r for r in C.describe_clusters(edges, C.loose_clusters(edges)).collect()}
-    assert by[101]["exact"] and by[101]["strength"] == 4
+    same = F.when(F.col("idx").isin(1, 2), "h").when(F.col("idx").isin(7, 9), "p").otherwise("")
+    f = catalogue.withColumn("content_hash", same).withColumn("hash_scope", F.when(same == "h", "full").when(same == "p", "0+128").otherwise(""))
+    f = f.withColumn("file_unique_id", F.when(F.col("idx").isin(3, 4), "same").otherwise(F.col("file_unique_id")))
+    by = {r["first_id"]: r for r in C.find_clusters(materialize(f), MatchConfig(cluster_mode="strict"))[0].collect()}
+    assert by[1]["exact"] and by[1]["strength"] == 4 and "hash" in by[1]["signals"]
+    assert by[3]["exact"] and "identity" in by[3]["signals"]
+    assert not by[7]["exact"] and by[7]["signals"] == ["hash_partial", "size_time"] and by[7]["strength"] == 3
+
+
+def python_captions(a, b):
+    """The caption rule in plain Python."""
+    x, y = a.split(), b.split()
+    clean = lambda t: {w for w in t if len(w) > 1 or w.isdigit()} or set(t)
+    j = len(clean(x) & clean(y)) / len(clean(x) | clean(y))
+    r = difflib.SequenceMatcher(None, a, b).ratio()
+    n = len(set(x) & set(y))
+    few = min(len(a), len(b)) < 25
+    ok = r >= max(0.8, 0.9 * few) and j >= max(0.6, 0.75 * few) and (n >= 6 or n / min(len(x), len(y)) >= 0.6)
+    return round(0.6 * r + 0.4 * j, 4) if ok else None
+
+
+def test_captions_and_names_against_plain_python(spark):
+    rep = "alpha beta gamma " * 3
+    texts = [(rep + "one", rep + "two"), ("alpha alpha alpha alpha beta gamma end", "alpha alpha alpha alpha beta gamma fin"), ("one two three four five six seven", "one two three four five six eight"), ("short words here", "short words her")]
+    rows = [(1, 2 * k + s, t[s].strip()) for k, t in enumerate(texts) for s in (0, 1)]
+    f = spark.createDataFrame(rows, "channel_id int, idx long, caption_norm string")
+    pairs = spark.createDataFrame([(1, 2 * k, 2 * k + 1) for k in range(len(texts))], "channel_id int, i long, j long")
+    got = {r["i"] // 2: r["caption"] for r in S.verify_pairs(pairs, f).collect()}
+    want = {k: python_captions(a.strip(), b.strip()) for k, (a, b) in enumerate(texts)}
+    assert {k: got.get(k) for k in want} == pytest.approx(want, abs=1e-4) and None in want.values()
+    # the shorter text decides what is contained, not the smaller set
+    both = spark.createDataFrame([("aa bb", "aa bb cc"), ("aa aa aa bb", "aa bb cc"), ("longername x y", "longername x y z z z")], "a string, b string")
+    assert [r["c"] for r in both.select(S._contains(F.col("a"), F.col("b")).alias("c")).collect()] == [True, False, True]
 
 
 def test_size_pairs_match_plain_python(spark):

@@ -1,7 +1,7 @@
 """Scalar text, number and time functions as Column expressions.
 
 All stay in the JVM but three that Spark has no expression for: Unicode NFKC, HTML entities, and the
-Ratcliff-Obershelp ratio; those are Arrow-batched pandas UDFs, applied to rows that need them only.
+Ratcliff-Obershelp ratio; those are Arrow-batched pandas UDFs, given only the rows that need them.
 Unknown is null, '' or 0 throughout.
 """
 
@@ -26,15 +26,28 @@ SAME = {
 DROPPED = "\u0640\u200f\u200e\u200c"
 # fixed values: tokens of quality and format that do not tell names apart
 QUALITY = (
-    "1080p 1080 720p 720 480p 480 360p 2160p 2160 1440p 4k 8k 2k fhd uhd fullhd hd sd hq lq hdrip webrip webdl web dl bluray "
-    "brrip bdrip dvdrip dvd hdtv hdcam cam ts tc remux proper repack x264 x265 h264 h265 hevc avc xvid divx aac ac3 eac3 ddp "
-    "dd dd5 dts mp3 opus 10bit 8bit hdr hdr10 sdr dv dolby atmos dual dubbed dub subbed sub softsub hardsub multi persian farsi "
-    "zabane zaban dubbing voa ir iran imax uncut extended directors cut mp4 mkv avi mov m4v webm flv wmv mpg mpeg vob m2ts part vol "
-    "yts yify rarbg galaxyrg psa evo f2m encode encoded encodegah film2movie digimoviez valamovie avamovie bia2movies zar zardfilm nimadl "
-    "dlfilm download زبان دوبله زیرنویس چسبیده نسخه کیفیت سانسور کامل دو"
-).split()
-
-NFKC_NEEDED = r"[^\x00-\x7F]"
+    "1080p", "1080", "720p", "720", "480p", "480", "360p", "2160p", "2160", "1440p", "4k", "8k", "2k", "fhd", "uhd", "fullhd", "hd", "sd", "hq",
+    "lq", "hdrip", "webrip", "webdl", "web", "dl", "bluray", "brrip", "bdrip", "dvdrip", "dvd", "hdtv", "hdcam", "cam", "ts", "tc", "remux",
+    "proper", "repack", "x264", "x265", "h264", "h265", "hevc", "avc", "xvid", "divx", "aac", "ac3", "eac3", "ddp", "dd", "dd5", "dts", "mp3",
+    "opus", "10bit", "8bit", "hdr", "hdr10", "sdr", "dv", "dolby", "atmos", "dual", "dubbed", "dub", "subbed", "sub", "softsub", "hardsub", "multi",
+    "persian", "farsi", "zabane", "zaban", "dubbing", "voa", "ir", "iran", "imax", "uncut", "extended", "directors", "cut", "mp4", "mkv", "avi",
+    "mov", "m4v", "webm", "flv", "wmv", "mpg", "mpeg", "vob", "m2ts", "part", "vol", "yts", "yify", "rarbg", "galaxyrg", "psa", "evo", "f2m",
+    "encode", "encoded", "encodegah", "film2movie", "digimoviez", "valamovie", "avamovie", "bia2movies", "zar", "zardfilm", "nimadl", "dlfilm",
+    "download", "زبان", "دوبله", "زیرنویس", "چسبیده", "نسخه", "کیفیت", "سانسور", "کامل", "دو",
+)
+
+# fixed values: emoji and symbols, links and handles that count as spaces
+EMOJI = r"[\x{1F000}-\x{1F2FF}\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]"
+LINK = r"(?i)(https?://|tg://|www\.)\S+"
+HANDLE = r"@(?<![\p{L}\p{N}_]@)[A-Za-z0-9_]{3,}"
+
+#: Characters that NFKC never changes, alone or after another of them; a text of these alone needs no normalization.
+NFKC_STABLE = (
+    "\\x00-\\x7F\\x{00A1}-\\x{00A7}\\x{00A9}\\x{00AB}\\x{00AE}\\x{00B0}\\x{00B6}\\x{00BB}\\x{00BF}-\\x{0131}\\x{0410}-\\x{044F}\\x{05D0}-\\x{05EA}"
+    "\\x{061B}-\\x{064A}\\x{0660}-\\x{066F}\\x{0679}-\\x{06D5}\\x{06F0}-\\x{06F9}\\x{200B}-\\x{200F}\\x{2012}-\\x{2016}\\x{2018}-\\x{2022}\\x{3001}-\\x{3029}"
+    "\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}\\x{1F300}-\\x{1F6FF}"
+)
+NFKC_NEEDED = f"[^{NFKC_STABLE}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -53,13 +66,18 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def normalize(c: Column) -> Column:
-    """Lower-cased words with one space between; apply ``nfkc`` first where compatibility forms occur."""
+def compatible(c: Column) -> Column:
+    """``c`` in NFKC. Only rows with a character that may change reach Python; the others go there as nulls."""
+    return F.coalesce(nfkc(F.when(c.rlike(NFKC_NEEDED), c)), c)
+
+
+def normalize(c: Column, unicode: bool = True) -> Column:
+    """Lower-cased words with one space between, from the text's NFKC form; ``unicode`` off where ``c`` is in that form already."""
+    c = compatible(c) if unicode else c
     s = F.translate(F.coalesce(c, F.lit("")), "".join(SAME) + DROPPED, "".join(SAME.values()))
     s = F.lower(F.regexp_replace(s, r"[\x{064B}-\x{0655}\x{0670}]", ""))
-    s = F.regexp_replace(s, r"[\x{1F000}-\x{1F2FF}\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}]", " ")
-    s = F.regexp_replace(s, r"(?i)(https?://|tg://|www\.)\S+", " ")
-    s = F.regexp_replace(s, r"(^|[^\p{L}\p{N}_])@[A-Za-z0-9_]{3,}", "$1 ")
+    s = F.regexp_replace(s, EMOJI, " ")
+    s = F.regexp_replace(F.regexp_replace(s, LINK, " "), HANDLE, " ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s\x{0600}-\x{06FF}]+", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
@@ -69,9 +87,8 @@ def tokens(c: Column) -> Column:
 
 
 def strip_quality(c: Column) -> Column:
-    stop = F.array(*map(F.lit, QUALITY))
     odd = r"^(\d{3,4}p(\d{1,2})?|x?26[45]|(h|hevc)?d?(rip|cam|ts|tc))$"
-    return F.array_join(F.filter(tokens(c), lambda t: ~F.array_contains(stop, t) & ~t.rlike(odd)), " ")
+    return F.array_join(F.filter(tokens(c), lambda t: ~t.isin(*QUALITY) & ~t.rlike(odd)), " ")
 
 
 def name_norm(c: Column) -> Column:
@@ -117,7 +134,7 @@ def token_set(c: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of the token sets without single characters, unless nothing else is left; 0 if either is empty."""
     x, y = token_set(a), token_set(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y)))).otherwise(0.0)
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
@@ -140,7 +157,7 @@ def human_duration(c: Column) -> Column:
 
 
 def percent(a: Column, b: Column) -> Column:
-    return F.when(b > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(a * 100 / b)))).otherwise(0).cast("int")
+    return F.when(b > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(a * 100 / F.nullif(b, F.lit(0)))))).otherwise(0).cast("int")
 
 
 def duration_seconds(c: Column) -> Column:
@@ -151,7 +168,10 @@ def duration_seconds(c: Column) -> Column:
 
 
 def to_epoch(c: Column) -> Column:
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.trim(c))), F.lit(0))
+    """Epoch seconds of an ISO time; without a zone it is UTC whatever the session's zone is; 0 where it is none."""
+    c = F.trim(c)
+    zoned = F.when(c.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$") & c.contains(":"), c).otherwise(F.concat(c, F.when(c.contains(":"), "Z").otherwise("T00:00:00Z")))
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(zoned)), F.lit(0))
 
 
 def strip_tags(c: Column) -> Column:
@@ -181,8 +201,10 @@ def message_link(channel: Column, username: Column, msg: Column, base: str) -> C
 
 
 def local_date(epoch: Column, minutes: int = 210) -> Column:
-    """``yyyy-MM-dd HH:mm`` at a fixed offset from UTC, a dash for unknown; needs the session in UTC."""
-    return F.when(epoch > 0, F.date_format(F.timestamp_seconds(epoch + minutes * 60), "yyyy-MM-dd HH:mm")).otherwise("—")
+    """``yyyy-MM-dd HH:mm`` at a fixed offset from UTC in any session zone, a dash for unknown."""
+    s = epoch.cast("long") + minutes * 60
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(s / 86400).cast("int")).cast("string")
+    return F.when(epoch > 0, F.concat(day, F.format_string(" %02d:%02d", F.pmod(F.floor(s / 3600), F.lit(24)), F.pmod(F.floor(s / 60), F.lit(60))))).otherwise("—")
 
 
 def raw_channel_id(c: Column) -> Column:
@@ -190,7 +212,25 @@ def raw_channel_id(c: Column) -> Column:
 
 
 def latin_digits(c: Column) -> Column:
-    return F.translate(c, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+    return F.translate(F.coalesce(c, F.lit("")), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+
+
+def local_digits(c: Column) -> Column:
+    return F.translate(c.cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹")
+
+
+def phone(c: Column) -> Column:
+    """``+digits`` of a number, an international 00 before it dropped; '' without digits."""
+    digits = F.regexp_replace(F.regexp_replace(latin_digits(c), r"[^0-9]", ""), "^00", "")
+    return F.when(digits != "", F.concat(F.lit("+"), digits)).otherwise("")
+
+
+def looks_like_phone(c: Column) -> Column:
+    return F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("")).rlike(r"^\+?[0-9]{6,15}$")
+
+
+def with_separators(c: Column) -> Column:
+    return F.format_number(F.coalesce(c, F.lit(0)).cast("long"), 0)
 
 
 def safe_name(c: Column) -> Column:
@@ -202,6 +242,28 @@ def bar(share: Column, width: int = 10) -> Column:
     return F.concat(F.array_join(F.array_repeat(F.lit("█"), n), ""), F.array_join(F.array_repeat(F.lit("░"), F.lit(width) - n), ""))
 
 
+def bar_text(share: Column, width: int = 10) -> Column:
+    """A bar that shows one full cell at least once begun, and one empty cell at least until done."""
+    p = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(share.cast("double"), F.lit(0.0))))
+    n = F.rint(p / 100 * width).cast("int")
+    n = F.when((p > 0) & (n == 0), 1).when((p < 100) & (n == width), width - 1).otherwise(n)
+    return F.concat(F.array_join(F.array_repeat(F.lit("▰"), n), ""), F.array_join(F.array_repeat(F.lit("▱"), F.lit(width) - n), ""))
+
+
+def oldest_id(c: Column) -> Column:
+    """The least id of a page, 0 of none; an aggregate."""
+    return F.coalesce(F.min(c), F.lit(0))
+
+
+def prune_kind(mime: Column, has_video: Column, kinds: str) -> Column:
+    """Which stored rows a scan of ``kinds`` would have read, told by type alone: unlike ``kind_ok``, no name or type is needed for video+doc."""
+    mime = F.lower(F.coalesce(mime, F.lit("")))
+    video = (F.coalesce(has_video, F.lit(0)) == 1) | mime.startswith("video/")
+    if kinds == "all":
+        return F.lit(True)
+    return video | (~mime.startswith("image/") & ~mime.startswith("audio/")) if kinds == "video+doc" else video
+
+
 def kind_ok(mime: Column, has_video: Column, name: Column, kinds: str) -> Column:
     """Whether a row is of the scanned kind: video, video+doc or all."""
     if kinds == "all":

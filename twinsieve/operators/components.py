@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.shared import materialize
+from twinsieve.shared import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionByName(roots.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, e = e, materialize(small.unionByName(roots.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(last)
         before, state = state, _state(e)
         if state == before:
             break

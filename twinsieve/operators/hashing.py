@@ -42,6 +42,22 @@ def content_hash(size: Column, content: Column, plan: Column, full: bool) -> Col
     return F.substring(F.sha2(chunks, 256), 1, 32)
 
 
+def hash_files(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """``files`` (size, content binary, ...) with content_hash and hash_scope in place of content.
+
+    Full where that is wanted and the size allows it, else by sample. Both are '' where a planned chunk is empty, as when
+    the content is missing or shorter than its size says.
+    """
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    full = F.lit(cfg.hash_scope == "full") & (size <= cfg.hash_full_max if cfg.hash_full_max else F.lit(True))
+    plans = {True: full_chunk_plan(size), False: chunk_plan(size)}
+    held = F.coalesce(F.octet_length("content"), F.lit(0))
+    fine = {k: (F.size(p) > 0) & F.forall(p, lambda c: c["off"] < held) for k, p in plans.items()}
+    made = F.when(full & fine[True], content_hash(size, F.col("content"), plans[True], True)).when(~full & fine[False], content_hash(size, F.col("content"), plans[False], False)).otherwise("")
+    out = files.withColumn("_h", made).withColumn("hash_scope", F.when(F.col("_h") == "", "").when(full, "full").otherwise(scope_text(plans[False])))
+    return out.withColumn("content_hash", F.col("_h")).drop("_h", "content")
+
+
 def _wanted(files: DataFrame, pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Files to hash, with ``k``: the place in the order of idx within the channel."""
     big = files.where(F.coalesce("size", F.lit(0)) >= cfg.min_size_for_match).select("channel_id", "idx", "size")
@@ -70,3 +86,11 @@ def needs_hash(cfg: MatchConfig = MatchConfig()) -> Column:
         return none
     fits = F.lit(True) if not cfg.hash_full_max else F.col("size") <= cfg.hash_full_max
     return none | ((F.coalesce("hash_scope", F.lit("")) != "full") & fits)
+
+
+def rehash_counts(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """One row: planned files that keep their hash, are hashed anew for a full one, and are too large for it."""
+    has = F.coalesce("content_hash", F.lit("")) != ""
+    short = has & (F.lit(cfg.hash_scope == "full") & (F.lower(F.trim(F.coalesce("hash_scope", F.lit("")))) != "full"))
+    stuck = short & (F.col("size") > cfg.hash_full_max) if cfg.hash_full_max else F.lit(False)
+    return files.agg(F.count_if(has & ~short).alias("kept"), F.count_if(short & ~stuck).alias("hash_upgraded"), F.count_if(stuck).alias("hash_stuck_sample"), F.count_if(~has).alias("unhashed"))

@@ -61,11 +61,29 @@ def bucket_pairs(files: DataFrame, column: str = "name_norm", most: int = 60) ->
     return _self_join(rows.join(fine, keys), keys).select("channel_id", "i", "j").distinct()
 
 
+def _kept_tokens(files: DataFrame, column: str, least_len: int, least_df: int, cap: Column) -> DataFrame:
+    """(channel_id, idx, t): each row's tokens that ``_token_rows`` keeps, rarest first, as array<struct<df, token>>."""
+    rows = files.select("channel_id", "idx", F.explode(F.filter(F.array_distinct(X.tokens(F.col(column))), lambda t: F.length(t) >= least_len)).alias("token"))
+    df = rows.groupBy("channel_id", "token").agg(F.count("*").alias("df"))
+    kept = df.join(channel_sizes(files), KEY).where((F.col("df") >= least_df) & (F.col("df") <= cap)).select("channel_id", "token", "df")
+    return rows.join(kept, ["channel_id", "token"]).groupBy("channel_id", "idx").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+
+
 def shared_token_pairs(files: DataFrame, column: str = "caption_norm", least_len: int = 12, shared: int = 2) -> DataFrame:
-    """(channel_id, i, j, shared): pairs with two or more common tokens of the caption, neither rare once nor frequent."""
+    """(channel_id, i, j, shared): pairs with ``shared`` or more common tokens of the caption, neither rare once nor frequent.
+
+    Rows meet on their rarest tokens: of ``shared`` common ones, one at least is not among either row's ``shared`` - 1 most
+    frequent. The others are counted by intersecting the rows' tokens, once a pair.
+    """
     cap = F.greatest(F.lit(60), F.floor(F.col("channel_n") * 0.02))
-    rows = _token_rows(files.where(F.length(column) >= least_len), column, 3, 2, cap)
-    return _self_join(rows, ["channel_id", "token"]).groupBy("channel_id", "i", "j").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    held = _kept_tokens(files.where(F.length(column) >= least_len), column, 3, 2, cap).where(F.size("t") >= shared)
+    first = held.select("channel_id", "idx", F.explode(F.slice("t", F.lit(1), F.size("t") - (shared - 1))).alias("x")).select("channel_id", "idx", "x.token")
+    pairs = _self_join(first, ["channel_id", "token"]).select("channel_id", "i", "j").distinct()
+    sets = held.select("channel_id", "idx", F.col("t.token").alias("t"))
+    a = sets.select("channel_id", F.col("idx").alias("i"), F.col("t").alias("x"))
+    b = sets.select("channel_id", F.col("idx").alias("j"), F.col("t").alias("y"))
+    met = pairs.join(a, ["channel_id", "i"]).join(b, ["channel_id", "j"])
+    return met.select("channel_id", "i", "j", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).where(F.col("shared") >= shared)
 
 
 def _tolerance(size: Column, cfg: MatchConfig) -> Column:
@@ -79,24 +97,43 @@ def _band(size: Column, cfg: MatchConfig) -> Column:
     return F.struct(power.alias("p"), F.floor(size / width).alias("b"))
 
 
+def _probes(size: Column, far: Column, cfg: MatchConfig) -> Column:
+    """The bands that sizes from ``size`` to ``far`` can lie in."""
+    edge = F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) + 1).cast("long")
+    return F.array_distinct(F.array(*(_band(x, cfg) for x in (size, F.least(far, edge - 1), F.least(far, edge), far))))
+
+
 def size_window_pairs(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """(channel_id, i, j, exact): sizes equal or within the smaller one's tolerance, capped per anchor in order of size.
 
-    A band join: each anchor looks up the few bands its range can touch, so it stays an equi-join.
+    Equal sizes: each anchor meets the next ranks of its size. Near ones, a band join: each anchor looks up the few bands
+    its range can touch. Of a band it takes the next ranks only, as many as the cap lets it keep, so a crowded band or
+    a common size never meets itself as a whole.
     """
     rows = files.where(F.coalesce("size", F.lit(0)) > 0).select("channel_id", "idx", "size")
+    same, banded = Window.partitionBy("channel_id", "size"), Window.partitionBy("channel_id", "band")
+    rows = rows.withColumn("band", _band(F.col("size"), cfg)).withColumn("at", F.row_number().over(banded.orderBy("size", "idx")))
+    rows = rows.withColumn("k", F.row_number().over(same.orderBy("idx"))).withColumn("n", F.count("*").over(same)).withColumn("last", F.max("at").over(same))
+    most = (1 << 30) if cfg.exhaustive_pairs else max(8, cfg.size_pair_cap)
+    most_exact = (1 << 30) if cfg.exhaustive_pairs else max(most, cfg.size_pair_exact_cap)
+    ahead = rows.where("k < n").select("channel_id", "size", F.col("idx").alias("a"), F.explode(F.sequence(F.col("k") + 1, F.least(F.col("k") + most_exact, F.col("n")))).alias("k"))
+    equal = ahead.join(rows.select("channel_id", "size", "k", F.col("idx").alias("b")), ["channel_id", "size", "k"]).select("channel_id", "a", "b", F.lit(True).alias("exact"))
+
     far = F.col("size") + _tolerance(F.col("size"), cfg)
-    edge = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double"))) + 1).cast("long")
-    probes = F.array_distinct(F.array(*(_band(x, cfg) for x in (F.col("size"), F.least(far, edge - 1), F.least(far, edge), far))))
-    left = rows.select("channel_id", F.col("idx").alias("a"), F.col("size").alias("sa"), far.alias("far"), F.explode(probes).alias("band"))
-    right = rows.select("channel_id", F.col("idx").alias("b"), F.col("size").alias("sb"), _band(F.col("size"), cfg).alias("band"))
-    after = (F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") > F.col("a")))
-    found = left.join(right, ["channel_id", "band"]).where(after & (F.col("sb") <= F.col("far"))).withColumn("exact", F.col("sa") == F.col("sb"))
+    left = rows.select("channel_id", F.col("idx").alias("a"), F.col("size").alias("sa"), far.alias("far"), F.col("band").alias("own"), "last", F.explode(_probes(F.col("size"), far, cfg)).alias("band"))
+    # of its own band an anchor needs what follows its size, of the next ones all
+    counts = rows.groupBy("channel_id", "band").agg(F.max("at").alias("m"))
+    start = F.when(F.col("band") == F.col("own"), F.col("last")).otherwise(0)
+    left = left.join(counts, ["channel_id", "band"]).withColumn("start", start).where("start < m")
+    right = rows.select("channel_id", "band", F.col("idx").alias("b"), F.col("size").alias("sb"), "at")
+    crowded = F.col("m") - F.col("start") > most
+    few = left.where(~crowded).join(right, ["channel_id", "band"]).where("at > start")
+    many = left.where(crowded).withColumn("at", F.explode(F.sequence(F.col("start") + 1, F.col("start") + most))).join(right, ["channel_id", "band", "at"])
+    near = few.select("channel_id", "a", "sa", "far", "b", "sb").unionByName(many.select("channel_id", "a", "sa", "far", "b", "sb")).where("sb <= far")
     if not cfg.exhaustive_pairs:
-        cap = max(8, cfg.size_pair_cap)
-        nearest = Window.partitionBy("channel_id", "a", "exact").orderBy("sb", "b")
-        found = found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= F.when(F.col("exact"), max(cap, cfg.size_pair_exact_cap)).otherwise(cap))
-    return found.select("channel_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "exact").distinct()
+        near = near.withColumn("k", F.row_number().over(Window.partitionBy("channel_id", "a").orderBy("sb", "b"))).where(F.col("k") <= most)
+    found = equal.unionByName(near.select("channel_id", "a", "b", F.lit(False).alias("exact")))
+    return found.select("channel_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "exact")
 
 
 def duration_pairs(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
@@ -125,3 +162,60 @@ def candidate_pairs(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataF
     for p in parts[1:]:
         out = out.unionByName(p.select("channel_id", "i", "j"))
     return out.distinct()
+
+
+def pair_drops(files: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(channel_id, size_pairs_dropped, duration_pairs_dropped, name_bucket_skipped): what the caps leave out, for channels with any.
+
+    Sizes: pairs within tolerance beyond an anchor's caps, counted by ranks, never by making them. Durations: pairs of crowded
+    buckets that are neither of equal size nor neighbours; as both kinds can overlap, this is a lower bound. Names: rows in
+    buckets too large to pair.
+    """
+    parts = []
+    if not cfg.exhaustive_pairs:
+        rows = files.where(F.coalesce("size", F.lit(0)) > 0).select("channel_id", "size").groupBy("channel_id", "size").agg(F.count("*").alias("n"))
+        rows = rows.withColumn("far", F.col("size") + _tolerance(F.col("size"), cfg))
+        # sizes and ends of ranges in one order: the rows up to each, within bands first
+        ends = rows.select("channel_id", "size", "n", F.col("far").alias("v"), F.lit(0).cast("long").alias("add"), F.lit(1).alias("end"))
+        marks = rows.select("channel_id", "size", "n", F.col("size").alias("v"), F.col("n").alias("add"), F.lit(0).alias("end")).unionByName(ends)
+        marks = marks.withColumn("band", _band(F.col("v"), cfg))
+        before = Window.partitionBy("channel_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+        bands = marks.groupBy("channel_id", "band").agg(F.sum("add").alias("s")).select("channel_id", "band", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+        inside = Window.partitionBy("channel_id", "band").orderBy("v", "end").rowsBetween(Window.unboundedPreceding, 0)
+        upto = marks.withColumn("c", F.sum("add").over(inside)).join(bands, ["channel_id", "band"]).withColumn("c", F.col("c") + F.col("base"))
+        per = upto.groupBy("channel_id", "size").agg(F.max("n").alias("n"), (F.max(F.when(F.col("end") == 1, F.col("c"))) - F.max(F.when(F.col("end") == 0, F.col("c")))).alias("near"))
+        cap = max(8, cfg.size_pair_cap)
+        over = F.greatest(F.lit(0), F.col("n") - 1 - max(cap, cfg.size_pair_exact_cap))
+        lost = F.col("n") * F.greatest(F.lit(0), F.col("near") - cap) + F.floor(over * (over + 1) / 2)
+        parts.append(per.groupBy("channel_id").agg(F.sum(lost).alias("size_pairs_dropped")))
+
+        full, win = cfg.duration_pair_cap, cfg.duration_dense_window
+        timed = files.where((F.coalesce("duration", F.lit(0)) >= cfg.min_duration_s) & (F.coalesce("size", F.lit(0)) > 0))
+        sizes = timed.groupBy("channel_id", "duration", "size").agg(F.count("*").alias("m"))
+
+        def within(n: Column) -> Column:
+            short = F.greatest(F.lit(0), F.least(n - 1, F.lit(win)))
+            return n * short - F.floor(short * (short + 1) / 2)
+
+        done = F.when(F.col("m") <= full, F.floor(F.col("m") * (F.col("m") - 1) / 2)).otherwise(within(F.col("m")))
+        buckets = sizes.groupBy("channel_id", "duration").agg(F.sum("m").alias("n"), F.sum(done).alias("done")).where(F.col("n") > full)
+        left = F.greatest(F.lit(0), F.floor(F.col("n") * (F.col("n") - 1) / 2) - F.col("done") - within(F.col("n")))
+        parts.append(buckets.groupBy("channel_id").agg(F.sum(left).alias("duration_pairs_dropped")))
+    name = F.col("name_norm")
+    named = without_generic(files, "name_norm").where(name != "").select("channel_id", X.episode_signature(name).alias("episode"), F.get(X.tokens(name), F.lit(0)).alias("head"))
+    large = named.groupBy("channel_id", "episode", "head").agg(F.count("*").alias("n")).where("n > 60")
+    parts.append(large.groupBy("channel_id").agg(F.sum("n").alias("name_bucket_skipped")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    columns = ["size_pairs_dropped", "duration_pairs_dropped", "name_bucket_skipped"]
+    out = out.groupBy("channel_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in out.columns else F.lit(0).cast("long").alias(c) for c in columns))
+    return out.where(" + ".join(columns) + " > 0")
+
+
+def in_window(pairs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Pairs with an end among ``fresh`` rows (channel_id, idx): those a limited scan looks at."""
+    fresh = fresh.select("channel_id", "idx").distinct()
+    one = pairs.join(fresh.withColumnRenamed("idx", "i"), ["channel_id", "i"], "left_semi")
+    other = pairs.join(fresh.withColumnRenamed("idx", "j"), ["channel_id", "j"], "left_semi")
+    return one.unionByName(other).distinct()

@@ -129,3 +129,53 @@ def usage(raw: Column, now: int, workspace: str = "", low_days: int = 5, low_cre
         F.coalesce(chosen["id"], F.lit("")).alias("workspace_id"), credit.alias("credit"), used.alias("usage"), left.alias("credit_left"), days.cast("int").alias("days_left"),
         ((days <= low_days) | (left <= low_credit)).alias("low"),
     )
+
+
+def stale_runs(runs: DataFrame, alive: DataFrame | None = None) -> DataFrame:
+    """Runs (id, status) where those still marked running, but not among ``alive`` (id), are canceled."""
+    lost = runs.where(F.col("status") == "running").select("id")
+    if alive is not None:
+        lost = lost.join(alive.select("id"), "id", "left_anti")
+    lost = lost.distinct().withColumn("_lost", F.lit(True))
+    return runs.join(lost, "id", "left").withColumn("status", F.when(F.col("_lost"), "canceled").otherwise(F.col("status"))).select(*runs.columns)
+
+
+#: From a run's state and what happened to its next state; others are refused.
+STEPS = {("running", "end"): "done", ("running", "cancel"): "canceled", ("running", "fail"): "error"}
+
+
+def next_status(status: Column, event: Column) -> Column:
+    """The state after an event; null where the state does not allow it."""
+    steps = F.create_map(*(F.lit(x) for (a, b), c in STEPS.items() for x in (f"{a}/{b}", c)))
+    return F.element_at(steps, F.concat_ws("/", status, event))
+
+
+def index_percent(last: Column, base: Column, top: Column, seen: Column, total: Column) -> Column:
+    """Progress of reading, 0 to 68: by the place of the last id between base and top, else by rows seen at half weight, else 1."""
+    by_id = F.least(F.lit(68.0), (last - base) * 68.0 / (top - base))
+    return F.when((top > base) & (last > base), by_id).when(total > 0, F.least(F.lit(68.0), seen * 34.0 / total)).otherwise(1.0)
+
+
+def hash_percent(hashed: Column, total: Column) -> Column:
+    """Progress of hashing, 70 to 95."""
+    return 70 + 25 * F.least(F.lit(1.0), hashed / F.greatest(F.lit(1), total))
+
+
+def undelivered(items: DataFrame, kv: DataFrame, prefix: str) -> DataFrame:
+    """Items (scan_id, group_id) whose flag ``prefix:scan:group`` is not set: what an at-least-once sink still has to send."""
+    done = kv.where(F.col("k").startswith(f"{prefix}:")).select(F.col("k").alias("_k"))
+    return items.withColumn("_k", F.concat_ws(":", F.lit(prefix), "scan_id", "group_id")).join(done, "_k", "left_anti").drop("_k")
+
+
+def delivered_flags(items: DataFrame, prefix: str) -> DataFrame:
+    """kv rows that mark items as sent; writing them again changes nothing."""
+    return items.select(F.concat_ws(":", F.lit(prefix), "scan_id", "group_id").alias("k"), F.lit("1").alias("v")).distinct()
+
+
+def group_counts(groups: DataFrame) -> DataFrame:
+    """One row of overlapping counts of groups (strength, exact, sizetime, signals, state): all, exact, by size and time, by name, by caption, open."""
+    has = lambda s: F.array_contains("signals", s)
+    return groups.agg(
+        F.count("*").alias("all_groups"), F.count_if("exact").alias("exact_groups"), F.count_if("sizetime").alias("sizetime_groups"), F.count_if(has("name")).alias("name_groups"),
+        F.count_if(has("caption")).alias("caption_groups"), F.count_if(F.col("state") == "open").alias("open_groups"),
+    )

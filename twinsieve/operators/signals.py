@@ -42,15 +42,16 @@ def size_time_signal(a_size: Column, b_size: Column, a_time: Column, b_time: Col
     ok = (F.least(a_size, b_size) >= cfg.min_size_for_match) & (apart <= tol) & (F.least(a_time, b_time) >= cfg.min_duration_s) & (late <= cfg.dur_tol_s)
     if cfg.size_time_require_one_exact:
         ok = ok & ((apart == 0) | (late == 0))
-    score = 0.6 * (1 - F.least(F.lit(1.0), apart / tol)) + 0.4 * (1 - F.least(F.lit(1.0), late / F.lit(max(cfg.dur_tol_s, 1e-9))))
+    score = 0.6 * (1 - F.least(F.lit(1.0), apart / F.greatest(tol, F.lit(1.0)))) + 0.4 * (1 - F.least(F.lit(1.0), late / F.lit(max(cfg.dur_tol_s, 1e-9))))
     return ok, F.bround(score, 4)
 
 
 def _contains(a: Column, b: Column) -> Column:
+    """Whether the shorter text's tokens, two or more, all stand in the longer one, which has others too."""
     x, y = F.array_distinct(X.tokens(a)), F.array_distinct(X.tokens(b))
-    low, high = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-    lengths = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    return (low >= 2) & (low < high) & (F.size(F.array_intersect(x, y)) == low) & (lengths >= 0.5)
+    short = F.when(F.length(a) <= F.length(b), F.size(x)).otherwise(F.size(y))
+    lengths = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return (short >= 2) & (F.size(x) != F.size(y)) & (F.size(F.array_intersect(x, y)) == short) & (lengths >= 0.5)
 
 
 def _with_ratio(pairs: DataFrame, a: str, b: str, undecided: Column) -> DataFrame:
@@ -79,7 +80,7 @@ def verify_pairs(pairs: DataFrame, files: DataFrame, cfg: MatchConfig = MatchCon
     st, st_score = size_time_signal(F.col("a.size"), F.col("b.size"), F.col("a.duration"), F.col("b.duration"), cfg)
     an, bn, ac, bc = (F.col(x) for x in ("a.name_norm", "b.name_norm", "a.caption_norm", "b.caption_norm"))
     guard = (F.col("a.file_name"), F.col("b.file_name")) if cfg.strict_episode_guard else (an, bn)
-    ea, eb = (X.episode_signature(X.normalize(x)) for x in guard)
+    ea, eb = (X.episode_signature(X.normalize(x, unicode=cfg.strict_episode_guard)) for x in guard)
     p = p.select(
         "channel_id", "i", "j", an.alias("an"), bn.alias("bn"), ac.alias("ac"), bc.alias("bc"),
         F.when(hash_signal(True), 1.0).alias("hash"), F.when(identity_signal(), 1.0).alias("identity"), F.when(hash_signal(False), 1.0).alias("hash_partial"),
@@ -88,12 +89,12 @@ def verify_pairs(pairs: DataFrame, files: DataFrame, cfg: MatchConfig = MatchCon
         ((an != "") & (bn != "") & ~F.col("a.name_generic") & ~F.col("b.name_generic") & ~((ea != "") & (eb != "") & (ea != eb))).alias("name_open"),
         ((F.length(ac) >= cfg.min_caption_len) & (F.length(bc) >= cfg.min_caption_len) & ~F.col("a.caption_generic") & ~F.col("b.caption_generic")).alias("cap_open"),
         X.jaccard(an, bn).alias("nj"), _contains(an, bn).alias("inside"), X.jaccard(ac, bc).alias("cj"),
-        X.shared_tokens(ac, bc).alias("cs"), F.least(F.size(F.array_distinct(X.tokens(ac))), F.size(F.array_distinct(X.tokens(bc)))).alias("ct"),
+        X.shared_tokens(ac, bc).alias("cs"), F.least(F.size(X.tokens(ac)), F.size(X.tokens(bc))).alias("ct"),
     )
 
     # names: a ratio can only matter if the token sets agree enough
     short = F.least(F.length("an"), F.length("bn")) < 3
-    bound = 2 * F.least(F.length("an"), F.length("bn")) / (F.length("an") + F.length("bn"))
+    bound = 2 * F.least(F.length("an"), F.length("bn")) / F.greatest(F.lit(1), F.length("an") + F.length("bn"))
     least_j = min(cfg.th_name_jaccard, max(0.45, cfg.th_name_jaccard - 0.15), min(0.98, cfg.th_name_jaccard + 0.25))
     ask = F.col("name_open") & (F.col("an") != F.col("bn")) & ~short & (F.col("inside") | ((F.col("nj") >= least_j) & (bound >= min(0.60, cfg.th_name_ratio))))
     p = _with_ratio(p, "an", "bn", ask)
@@ -107,7 +108,7 @@ def verify_pairs(pairs: DataFrame, files: DataFrame, cfg: MatchConfig = MatchCon
     few = F.least(F.length("ac"), F.length("bc")) < 25
     th_r, th_j = F.when(few, F.greatest(F.lit(0.90), F.lit(cfg.th_cap_ratio))).otherwise(cfg.th_cap_ratio), F.when(few, F.greatest(F.lit(0.75), F.lit(cfg.th_cap_jaccard))).otherwise(cfg.th_cap_jaccard)
     enough = (F.col("cs") >= 6) | (F.col("cs") / F.greatest(F.lit(1), F.col("ct")) >= 0.6)
-    bound = 2 * F.least(F.length("ac"), F.length("bc")) / (F.length("ac") + F.length("bc"))
+    bound = 2 * F.least(F.length("ac"), F.length("bc")) / F.greatest(F.lit(1), F.length("ac") + F.length("bc"))
     p = _with_ratio(p, "ac", "bc", F.col("cap_open") & (F.col("ac") != F.col("bc")) & enough & (F.col("cj") >= th_j) & (bound >= th_r))
     caption = F.when(F.col("cap_open") & (F.col("ac") == F.col("bc")), 1.0).when(F.col("ratio") >= th_r, F.bround(0.6 * F.col("ratio") + 0.4 * F.col("cj"), 4))
     p = p.withColumn("caption", caption)

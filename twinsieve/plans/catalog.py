@@ -150,15 +150,27 @@ def page_texts(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("text_md5"))
 
 
-@query()
+_POST = """'<html><div class="tgme_widget_message_wrap x"><div data-post="chan/' || page_id || '">' || CASE WHEN page_id % 3 = 0 THEN '<i class="js-message_video_duration">1:0' || (page_id % 10) || '</i>' WHEN page_id % 3 = 1 THEN '<a class="tgme_widget_message_photo_wrap"></a>' ELSE '' END
+  || '<div class="tgme_widget_message_text js">Film ' || page_id || '.mkv<br/>' || url || ' a &amp; b</div><div></div><time datetime="2024-01-02T03:04:05+00:00"></time></div>'"""
+
+
+@query(
+    """SELECT 'chan' AS channel_username, page_id AS msg_id, 1704164645::BIGINT AS date, 'Film ' || page_id || '.mkv' || chr(10) || url || ' a & b' AS caption, CASE WHEN page_id % 3 = 0 THEN 60 + page_id % 10 ELSE 0 END AS duration,
+  CASE WHEN page_id % 3 = 0 THEN 'video/mp4' ELSE '' END AS mime, CAST(page_id % 3 = 0 AS INTEGER) AS has_video, CAST(page_id % 3 = 1 AS INTEGER) AS has_photo, 0::BIGINT AS size, 'Film ' || page_id || '.mkv' AS file_name FROM pages WHERE page_id % 3 <> 2"""
+)
 def page_posts(spark, sf_dir):
-    """Media posts of pages in the public preview format; the driver's pages hold none, tests hold some."""
-    return posts(_t(spark, sf_dir, "pages"))
+    """One post a page in the public preview format, by number with a video, a photo or neither; those with neither give no row."""
+    return posts(_t(spark, sf_dir, "pages").select(F.expr(_POST).alias("html")))
 
 
-@query()
+_NARROW, _WIDE = "abcdefghijklmnopqrstuvwxyz0123456789", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+@query(f"SELECT p_partkey, {sql_name_norm('p_name')} AS name_norm FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, {sql_name_norm('p_name')} FROM part WHERE p_partkey % 2 = 1")
 def nfkc_names(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", X.name_norm(X.nfkc(F.col("p_name"))).alias("name_norm"))
+    """Names of which every second is written in full-width characters come out as the plain ones do."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.translate("p_name", _NARROW, _WIDE)).otherwise(F.col("p_name"))
+    return _t(spark, sf_dir, "part").select("p_partkey", X.name_norm(name).alias("name_norm"))
 
 
 @query(
@@ -217,23 +229,54 @@ v AS (SELECT channel_id, idx, {_TELL.format('w')} AS w FROM w),
 e AS (SELECT s.channel_id, i, j, len(list_intersect(a.w, b.w)) AS common, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS whole FROM s JOIN v a ON a.channel_id = s.channel_id AND a.idx = i JOIN v b ON b.channel_id = s.channel_id AND b.idx = j)"""
 
 
-def _jaccard_edges(spark, sf_dir, least: float) -> DataFrame:
+def _texts(spark, sf_dir) -> DataFrame:
+    """(channel_id, idx, w, t, x): one row a channel and text, the least id of its ``w`` copies, with its tokens rarest first and how many of them can tell texts apart."""
     d = docs_v(spark, sf_dir)
-    s = P.shared_token_pairs(d)
-    # tokens once a document; shared, frequent or not, must reach the share of the larger set before sets are met
-    sets = d.select("channel_id", "idx", X.token_set(F.col("caption_norm")).alias("t"))
-    a = sets.select("channel_id", F.col("idx").alias("i"), F.col("t").alias("x"))
-    b = sets.select("channel_id", F.col("idx").alias("j"), F.col("t").alias("y"))
-    low, high = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    near = s.join(a, ["channel_id", "i"]).join(b, ["channel_id", "j"]).where(low >= high * least)
-    common = F.size(F.array_intersect("x", "y"))
-    near = near.select("channel_id", "i", "j", (common / (F.size("x") + F.size("y") - common)).alias("jaccard"))
-    return near.where(F.col("jaccard") >= least)
+    one = d.groupBy("channel_id", "content_hash").agg(F.min("idx").alias("idx"), F.count("*").alias("w"), F.min("caption_norm").alias("caption_norm"))
+    rows = one.select("channel_id", "idx", "w", F.length("caption_norm").alias("len"), F.explode_outer(X.token_set(F.col("caption_norm"))).alias("token"))
+    df = rows.where("len >= 12").groupBy("channel_id", "token").agg(F.sum("w").alias("df"))
+    cap = F.greatest(F.lit(60), F.floor(F.col("channel_n") * 0.02))
+    df = df.join(P.channel_sizes(d), "channel_id").select("channel_id", "token", "df", ((F.length("token") >= 3) & F.col("df").between(2, cap)).alias("tells"))
+    held = rows.join(df, ["channel_id", "token"], "left").groupBy("channel_id", "idx", "w", "len").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", F.coalesce("tells", F.lit(False)).alias("tells")))).alias("s"))
+    return held.select("channel_id", "idx", "w", "len", F.col("s.token").alias("t"), F.transform(F.filter("s", lambda e: e["tells"]), lambda e: e["token"]).alias("x"))
+
+
+def _text_edges(texts: DataFrame, least: float) -> DataFrame:
+    """(channel_id, i, j, jaccard, weight) of different texts that share ``least`` of their tokens, two telling ones among them; weight: pairs of copies.
+
+    Texts meet on a prefix of their tokens, rarest first, as long as a text of such a share can't do without it.
+    """
+    fine = texts.where((F.col("len") >= 12) & (F.size("x") >= 2))
+    keep = F.size("t") - F.ceil(F.size("t") * least - 1e-9).cast("int") + 1
+    first = fine.select("channel_id", "idx", F.size("t").alias("n"), F.explode(F.slice("t", F.lit(1), keep)).alias("token"))
+    a = first.select("channel_id", "token", F.col("idx").alias("i"), F.col("n").alias("m"))
+    b = first.select("channel_id", "token", F.col("idx").alias("j"), "n")
+    pairs = a.join(b, ["channel_id", "token"]).where((F.col("i") < F.col("j")) & (F.least("m", "n") >= F.greatest("m", "n") * least)).select("channel_id", "i", "j").distinct()
+    sides = [fine.select("channel_id", F.col("idx").alias(e), F.struct("t", "x", "w").alias(c)) for e, c in (("i", "a"), ("j", "b"))]
+    met = pairs.join(sides[0], ["channel_id", "i"]).join(sides[1], ["channel_id", "j"])
+    common = F.size(F.array_intersect("a.t", "b.t"))
+    met = met.select("channel_id", "i", "j", (common / (F.size("a.t") + F.size("b.t") - common)).alias("jaccard"), F.size(F.array_intersect("a.x", "b.x")).alias("telling"), (F.col("a.w") * F.col("b.w")).cast("double").alias("weight"))
+    return met.where((F.col("jaccard") >= least) & (F.col("telling") >= 2)).drop("telling")
+
+
+def _copies(spark, sf_dir) -> DataFrame:
+    """(channel_id, i, j) of each text's copies: the least id with every other one."""
+    d = docs_v(spark, sf_dir).select("channel_id", "content_hash", "idx")
+    least = d.groupBy("channel_id", "content_hash").agg(F.min("idx").alias("i"), F.count("*").alias("w")).where("w >= 2")
+    return d.join(least, ["channel_id", "content_hash"]).where("idx <> i").select("channel_id", "i", F.col("idx").alias("j"), "w")
 
 
 @query(f"WITH {_JACCARD} SELECT channel_id, i, j, common / whole AS jaccard FROM e WHERE common / whole >= 0.6")
 def token_jaccard_pairs(spark, sf_dir):
-    return _jaccard_edges(spark, sf_dir, 0.6)
+    """All pairs of documents: those of different texts, with each one's copies, and those of copies."""
+    texts = materialize(_texts(spark, sf_dir), "texts")
+    ids = docs_v(spark, sf_dir).select("channel_id", "content_hash", "idx")
+    ids = ids.join(ids.groupBy("channel_id", "content_hash").agg(F.min("idx").alias("r")), ["channel_id", "content_hash"]).select("channel_id", "idx", "r")
+    own = texts.where((F.col("len") >= 12) & (F.size("x") >= 2) & (F.col("w") > 1)).select("channel_id", F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("jaccard"))
+    near = _text_edges(texts, 0.6).select("channel_id", "i", "j", "jaccard").unionByName(own)
+    rows = near.join(ids.select("channel_id", F.col("r").alias("i"), F.col("idx").alias("a")), ["channel_id", "i"]).join(ids.select("channel_id", F.col("r").alias("j"), F.col("idx").alias("b")), ["channel_id", "j"])
+    rows = rows.where((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    return rows.select("channel_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "jaccard")
 
 
 _WINDOW = f"""{_ORDERS}, c AS (SELECT a.channel_id, a.idx AS a, b.idx AS b, a.size = b.size AS exact, b.size AS sb FROM o a JOIN o b ON a.channel_id = b.channel_id
@@ -256,11 +299,64 @@ def duration_pairs(spark, sf_dir):
     return P.duration_pairs(parts_v(spark, sf_dir), SMALL)
 
 
-@query()
+_CANDIDATES = f"""{_PARTS}, n AS (SELECT channel_id, count(*) AS n FROM p GROUP BY 1),
+z AS (SELECT channel_id, name FROM p JOIN n USING (channel_id) WHERE name <> '' GROUP BY channel_id, name, n HAVING count(*) >= greatest(20, floor(n * 0.10))),
+y AS (SELECT p.* FROM p ANTI JOIN z USING (channel_id, name)), yn AS (SELECT channel_id, count(*) AS n FROM y GROUP BY 1),
+t AS (SELECT DISTINCT channel_id, idx, unnest(string_split(name, ' ')) AS token FROM y),
+k AS (SELECT channel_id, token, count(*) AS df FROM t WHERE length(token) >= 2 GROUP BY ALL),
+f AS (SELECT t.* FROM t JOIN k USING (channel_id, token) JOIN yn USING (channel_id) WHERE df >= 2 AND df <= greatest(4, least(400, floor(n * 0.05) + 2))),
+h AS (SELECT channel_id, idx, split_part(name, ' ', 1) AS head, count(*) OVER (PARTITION BY channel_id, split_part(name, ' ', 1)) AS m FROM y WHERE name <> ''),
+w AS (SELECT a.channel_id, a.idx AS i, b.idx AS j FROM f a JOIN f b ON a.channel_id = b.channel_id AND a.token = b.token AND a.idx < b.idx
+  UNION SELECT a.channel_id, a.idx, b.idx FROM h a JOIN h b ON a.channel_id = b.channel_id AND a.head = b.head AND a.idx < b.idx WHERE a.m BETWEEN 2 AND 60
+  UNION SELECT a.channel_id, a.idx, b.idx FROM p a JOIN p b ON a.channel_id = b.channel_id AND a.idx < b.idx
+    AND abs(a.size - b.size) <= greatest(50, round_even(least(a.size, b.size) * 0.5 / 100, 0)) WHERE least(a.size, b.size) > 0
+  UNION SELECT a.channel_id, a.idx, b.idx FROM p a JOIN p b ON a.channel_id = b.channel_id AND a.duration = b.duration AND a.idx < b.idx WHERE a.duration >= 3 AND least(a.size, b.size) > 0)"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT * FROM w")
 def candidate_pairs(spark, sf_dir):
     return P.candidate_pairs(parts_v(spark, sf_dir), SMALL)
 
 
+@query(
+    """WITH o AS (SELECT o_orderstatus AS channel_id, o_orderkey AS idx, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, year(o_orderdate) AS duration FROM orders),
+c AS (SELECT *, count(*) OVER (PARTITION BY channel_id, duration) AS n, row_number() OVER (PARTITION BY channel_id, duration ORDER BY size, idx) AS rn FROM o WHERE size > 0)
+SELECT DISTINCT a.channel_id, least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j FROM c a JOIN c b ON a.channel_id = b.channel_id AND a.duration = b.duration AND b.rn > a.rn
+WHERE a.n <= 600 OR b.rn <= a.rn + 40 OR a.size = b.size"""
+)
+def duration_dense(spark, sf_dir):
+    """The crowded branch at the default caps, 600 and 40: orders of a status and year."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("channel_id"), F.col("o_orderkey").alias("idx"), cents("o_totalprice").alias("size"), F.year("o_orderdate").cast("long").alias("duration"))
+    return P.duration_pairs(o, CFG)
+
+
+_TIGHT = MatchConfig(size_pair_cap=8, size_pair_exact_cap=8, duration_pair_cap=100, duration_dense_window=10)
+
+
+@query(
+    """WITH o AS (SELECT o_orderpriority AS channel_id, o_orderkey AS idx, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, year(o_orderdate) AS duration FROM orders),
+n AS (SELECT a.channel_id, a.idx, count(*) FILTER (WHERE b.size > a.size) AS near, count(*) FILTER (WHERE b.size = a.size) AS same FROM o a JOIN o b ON a.channel_id = b.channel_id
+  AND b.size BETWEEN a.size AND a.size + greatest(2048, round_even(a.size * 0.5 / 100, 0)) AND (b.size > a.size OR b.idx > a.idx) GROUP BY ALL),
+s AS (SELECT channel_id, sum(greatest(0, near - 8) + greatest(0, same - 8)) AS d FROM n GROUP BY 1),
+e AS (SELECT channel_id, duration, size, count(*) AS m FROM o GROUP BY ALL),
+g AS (SELECT channel_id, duration, sum(m) AS n, sum(m * (m - 1) // 2) AS done FROM e GROUP BY ALL HAVING sum(m) > 100),
+t AS (SELECT channel_id, sum(greatest(0, n * (n - 1) // 2 - done - (n * 10 - 55))) AS d FROM g GROUP BY 1)
+SELECT channel_id, CAST(coalesce(s.d, 0) AS BIGINT) AS size_pairs_dropped, CAST(coalesce(t.d, 0) AS BIGINT) AS duration_pairs_dropped, 0::BIGINT AS name_bucket_skipped FROM s FULL JOIN t USING (channel_id)
+WHERE coalesce(s.d, 0) + coalesce(t.d, 0) > 0"""
+)
+def dropped_pairs(spark, sf_dir):
+    """What tight caps would leave out, counted without making the pairs."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("channel_id"), F.col("o_orderkey").alias("idx"), F.lit("").alias("name_norm"), cents("o_totalprice").alias("size"), F.year("o_orderdate").cast("long").alias("duration"))
+    return P.pair_drops(o, _TIGHT)
+
+
+@query(f"WITH {_DURATION} SELECT * FROM x WHERE i % 7 = 0 OR j % 7 = 0")
+def window_pairs(spark, sf_dir):
+    """The pairs a limited scan looks at: one end or both among the fresh rows."""
+    p = parts_v(spark, sf_dir)
+    return P.in_window(P.duration_pairs(p, SMALL), p.where("idx % 7 = 0"))
+
+
 # signals and clusters
 
 
@@ -284,10 +380,11 @@ def exact_dup_groups(spark, sf_dir):
     return docs_v(spark, sf_dir).groupBy("channel_id", "content_hash").agg(F.count("*").alias("n"), F.min("idx").alias("first_id")).where("n >= 2")
 
 
-@query("SELECT a.source AS channel_id, a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON a.source = b.source AND md5(a.text) = md5(b.text) AND a.doc_id < b.doc_id")
+@query("SELECT channel_id, i, j FROM (SELECT source AS channel_id, min(doc_id) OVER (PARTITION BY source, md5(text)) AS i, doc_id AS j FROM documents) WHERE i <> j")
 def hash_edges(spark, sf_dir):
+    """Verified edges of equal content: the least id of a content with every other one, so a large group costs as many edges as it has rows."""
     d = docs_v(spark, sf_dir)
-    pairs = P._self_join(d.select("channel_id", "content_hash", "idx"), ["channel_id", "content_hash"]).select("channel_id", "i", "j")
+    pairs = _copies(spark, sf_dir).drop("w")
     return S.verify_pairs(pairs, d.drop("caption_norm"), CFG).where("hash is not null").select("channel_id", "i", "j")
 
 
@@ -313,11 +410,14 @@ def component_stats(spark, sf_dir):
 
 
 def _document_edges(spark, sf_dir) -> DataFrame:
-    d = docs_v(spark, sf_dir)
-    near = _jaccard_edges(spark, sf_dir, 0.6).select("channel_id", "i", "j", F.bround("jaccard", 4).alias("caption"))
-    same = P._self_join(d.select("channel_id", "content_hash", "idx"), ["channel_id", "content_hash"]).select("channel_id", "i", "j", F.lit(1.0).alias("hash"))
-    both = near.join(same, ["channel_id", "i", "j"], "full_outer")
-    return both.select("channel_id", "i", "j", *(F.col(s) if s in ("caption", "hash") else F.lit(None).cast("double").alias(s) for s in S.STRENGTH), F.lit(False).alias("size_eq"), F.lit(False).alias("dur_eq"))
+    """Edges between texts, and from a text's least id to its copies; ``weight``: the pairs of documents an edge stands for."""
+    texts = materialize(_texts(spark, sf_dir), "texts")
+    near = _text_edges(texts, 0.6).select("channel_id", "i", "j", F.bround("jaccard", 4).alias("caption"), F.lit(None).cast("double").alias("hash"), "weight")
+    own = texts.select("channel_id", F.col("idx").alias("i"), F.when((F.col("len") >= 12) & (F.size("x") >= 2), 1.0).alias("caption"))
+    # w - 1 edges share the w (w - 1) / 2 pairs of a text's copies
+    same = _copies(spark, sf_dir).join(own, ["channel_id", "i"], "left").select("channel_id", "i", "j", "caption", F.lit(1.0).alias("hash"), (F.col("w") / 2).alias("weight"))
+    both = near.unionByName(same)
+    return both.select("channel_id", "i", "j", *(F.col(s) if s in ("caption", "hash") else F.lit(None).cast("double").alias(s) for s in S.STRENGTH), F.lit(False).alias("size_eq"), F.lit(False).alias("dur_eq"), "weight")
 
 
 @query(
@@ -341,7 +441,8 @@ def dup_clusters(spark, sf_dir):
 
 @query()
 def strict_cliques(spark, sf_dir):
-    edges = materialize(_document_edges(spark, sf_dir), "edges")
+    """Cliques of different texts; a text's copies go where its least id goes and need no edges of their own."""
+    edges = materialize(_document_edges(spark, sf_dir).where("hash is null").drop("weight"), "edges")
     return C.strict_clusters(edges, C.loose_clusters(edges))
 
 
@@ -380,16 +481,16 @@ def hash_plan(spark, sf_dir):
 # the store
 
 
-_STORE = "store AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, o_orderstatus AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE '' END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE '' END AS hash_scope FROM orders)"
+_STORE = "store AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS size, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderstatus END AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN md5(o_orderkey::VARCHAR) ELSE '' END AS content_hash, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE '' END AS hash_scope FROM orders)"
 _OLD = f"{_STORE}, old AS (SELECT * FROM store WHERE msg_id % 5 <> 0)"
-_NEW = "new AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + (CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS size, o_orderstatus AS file_name FROM orders WHERE o_orderkey % 2 = 0)"
+_NEW = "new AS (SELECT o_custkey AS channel_id, o_orderkey AS msg_id, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) + (CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS size, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS file_name FROM orders WHERE o_orderkey % 2 = 0)"
 
 
 def _store(spark, sf_dir) -> DataFrame:
     """All orders as stored files."""
     key = F.col("o_orderkey")
     hashed = key % 3 == 0
-    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), key.alias("msg_id"), cents("o_totalprice").alias("size"), F.col("o_orderstatus").alias("file_name"), F.when(hashed, F.md5(key.cast("string"))).otherwise("").alias("content_hash"), F.when(hashed, "full").otherwise("").alias("hash_scope"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"), key.alias("msg_id"), cents("o_totalprice").alias("size"), F.when(key % 9 == 0, "").otherwise(F.col("o_orderstatus")).alias("file_name"), F.when(hashed, F.md5(key.cast("string"))).otherwise("").alias("content_hash"), F.when(hashed, "full").otherwise("").alias("hash_scope"))
 
 
 def _old_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -398,12 +499,12 @@ def _old_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     key = F.col("o_orderkey")
     keys = [F.col("o_custkey").alias("channel_id"), key.alias("msg_id")]
     old = _store(spark, sf_dir).where(F.col("msg_id") % 5 != 0)
-    new = o.where(key % 2 == 0).select(*keys, (cents("o_totalprice") + (key % 7 == 0).cast("long")).alias("size"), F.col("o_orderstatus").alias("file_name"))
+    new = o.where(key % 2 == 0).select(*keys, (cents("o_totalprice") + (key % 7 == 0).cast("long")).alias("size"), F.when(key % 9 != 0, F.col("o_orderstatus")).alias("file_name"))
     return old, new
 
 
 @query(
-    f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.channel_id, n.channel_id) AS channel_id, coalesce(o.msg_id, n.msg_id) AS msg_id, coalesce(n.size, o.size) AS size, coalesce(n.file_name, o.file_name) AS file_name,
+    f"""WITH {_OLD}, {_NEW} SELECT coalesce(o.channel_id, n.channel_id) AS channel_id, coalesce(o.msg_id, n.msg_id) AS msg_id, coalesce(n.size, o.size) AS size, CASE WHEN n.msg_id IS NULL THEN o.file_name ELSE n.file_name END AS file_name,
   CASE WHEN n.size <> o.size THEN '' ELSE coalesce(o.content_hash, '') END AS content_hash, CASE WHEN n.size <> o.size THEN '' ELSE coalesce(o.hash_scope, '') END AS hash_scope
 FROM old o FULL JOIN new n ON o.channel_id = n.channel_id AND o.msg_id = n.msg_id"""
 )
@@ -440,7 +541,7 @@ def reset_results(spark, sf_dir):
 
 
 @query(
-    f"WITH {_OLD}, s AS (SELECT channel_id, msg_id, CASE WHEN msg_id % 4 = 0 THEN 'x' ELSE '' END AS content_hash FROM {{}}) SELECT s.channel_id, count(*) FILTER (WHERE o.msg_id IS NULL) AS new, count(*) FILTER (WHERE o.msg_id IS NOT NULL AND o.content_hash = '' AND s.content_hash <> '') AS fills, count(*) FILTER (WHERE o.msg_id IS NOT NULL AND NOT (o.content_hash = '' AND s.content_hash <> '')) AS updates FROM s LEFT JOIN old o ON o.channel_id = s.channel_id AND o.msg_id = s.msg_id GROUP BY 1".replace("{}", "(SELECT o_custkey AS channel_id, o_orderkey AS msg_id FROM orders WHERE o_orderkey % 2 = 0)")
+    f"WITH {_OLD}, s AS (SELECT channel_id, msg_id, CASE WHEN msg_id % 4 = 0 THEN 'x' ELSE '' END AS content_hash FROM {{}}) SELECT s.channel_id, count(*) FILTER (WHERE o.msg_id IS NULL) AS new, count(*) FILTER (WHERE s.content_hash <> '' AND (o.msg_id IS NULL OR o.content_hash <> s.content_hash)) AS fills, count(*) FILTER (WHERE o.msg_id IS NOT NULL) AS updates FROM s LEFT JOIN old o ON o.channel_id = s.channel_id AND o.msg_id = s.msg_id GROUP BY 1".replace("{}", "(SELECT o_custkey AS channel_id, o_orderkey AS msg_id FROM orders WHERE o_orderkey % 2 = 0)")
 )
 def import_preview(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
@@ -507,6 +608,6 @@ def event_windows(spark, sf_dir):
     schema = _t(spark, sf_dir, "events").schema
     # the file source wants a folder, or a pattern for a table that is one file
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", cents("value").alias("cents"))
-    name = "event_windows_" + work_dir(spark)[-8:]
-    done = run_to_table(spark, windowed_counts(stream, "ts", "1 hour", "1 day", ["event_type"], "cents"), name, f"{work_dir(spark)}/stream")
+    folder = work_dir(spark)
+    done = run_to_table(windowed_counts(stream, "ts", "1 hour", "1 day", ["event_type"], "cents"), f"{folder}/out", f"{folder}/state")
     return done.withColumn("start", F.unix_timestamp("start"))

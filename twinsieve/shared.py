@@ -1,11 +1,13 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-``spark.checkpoint.dir`` names the shared folder. Where it is unset (tests on one machine) a
-temporary folder is used; on a cluster the setting has to be there.
+``spark.checkpoint.dir`` names the shared folder. Where it is unset and Spark runs on one machine a
+temporary folder is used, removed when Python ends; on a cluster the setting has to be there.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,17 +16,45 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared one; nothing is created yet."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="twinsieve-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
         base = f"file://{_local[app]}"
-    return f"{base.rstrip('/')}/twinsieve-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/twinsieve-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reads; nothing happens where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_twinsieve_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every folder this process made and did not discard; call it once no result of the library is read any more."""
+    for path in list(_made):
+        remove(spark, path)
 
 
 @contextmanager
@@ -45,7 +75,9 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     Later reads cost a scan, never a recomputation, and survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}"
+    folder = work_dir(spark)
     with freeing_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{folder}/{tag}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{tag}")
+    out._twinsieve_path = folder
+    return out
