@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from twinsieve.config import coerce
 from twinsieve.operators import runs as R
-from twinsieve.plans import catalog, records
+from twinsieve.plans import catalog, records, stores
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", [n for n, f in catalog.QUERIES.items() if f.__module__ == records.__name__])
+@pytest.mark.parametrize("name", [n for n, f in catalog.QUERIES.items() if f.__module__ in (records.__name__, stores.__name__)])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

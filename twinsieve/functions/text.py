@@ -170,7 +170,7 @@ def duration_seconds(c: Column) -> Column:
 def to_epoch(c: Column) -> Column:
     """Epoch seconds of an ISO time; without a zone it is UTC whatever the session's zone is; 0 where it is none."""
     c = F.trim(c)
-    zoned = F.when(c.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$") & c.contains(":"), c).otherwise(F.concat(c, F.when(c.contains(":"), "Z").otherwise("T00:00:00Z")))
+    zoned = F.when(c.rlike(r"([Zz]|[+-]\d{2}(:?\d{2})?)$") & c.contains(":"), c).when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(c, F.lit("T00:00:00Z"))).when(c.contains(":"), F.concat(c, F.lit("Z")))
     return F.coalesce(F.unix_timestamp(F.try_to_timestamp(zoned)), F.lit(0))
 
 
