@@ -253,25 +253,30 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_lm_scores(spark, odd):
-    for order in (1, 2, 3):
-        rows = ngramlm.ngram_scores(frame(spark, odd), order=order, chunk_docs=3).collect()
-        texts = [words(t) for _, t in odd]
-        counts = {}
-        for w in texts:
-            for n in range(1, order + 1):
-                for k in range(len(w) - n + 1):
-                    counts[tuple(w[k : k + n])] = counts.get(tuple(w[k : k + n]), 0) + 1
-        total = sum(map(len, texts))
-
-        def s(g):
-            if len(g) == 1:
-                return counts[g] / total
-            return counts[g] / counts[g[:-1]] if counts[g] >= 2 else 0.4 * s(g[1:])
-
-        want = sorted((len(w), sum(float(np.log(s(tuple(w[max(0, k - order + 1) : k + 1])))) for k in range(len(w)))) for w in texts)
-        got = sorted((r["n_words"], r["log_score"]) for r in rows)
-        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+@pytest.mark.parametrize(("order", "fan", "block_bytes"), [(1, 256, 1 << 20), (2, 256, 20_000), (3, 256, 1 << 20), (3, 2, 3_000), (4, 3, 20_000)])
+def test_lm_scores(spark, odd, order, fan, block_bytes):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(40)}" for _ in range(300)]
+    more = [(50 + k, " ".join(base[rng.randrange(200) :][: rng.randrange(90)])) for k in range(40)] if odd else []
+    texts = [words(t) for _, t in [*odd, *more]]
+    counts = {}
+    for w in texts:
+        for n in range(1, order + 1):
+            for k in range(len(w) - n + 1):
+                counts[tuple(w[k : k + n])] = counts.get(tuple(w[k : k + n]), 0) + 1
+    total = sum(map(len, texts))
+
+    def s(g):
+        if len(g) == 1:
+            return counts[g] / total
+        return counts[g] / counts[g[:-1]] if counts[g] >= 2 else 0.4 * s(g[1:])
+
+    docs = frame(spark, [*odd, *more])
+    want = sorted((len(w), sum(float(np.log(s(tuple(w[max(0, k - order + 1) : k + 1])))) for k in range(len(w)))) for w in texts)
+    got = sorted((r["n_words"], r["log_score"]) for r in ngramlm.ngram_scores(docs, order=order, fan=fan, block_bytes=block_bytes).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    table = sorted((r["n"], r["count"]) for r in ngramlm.ngram_counts(docs, order=order, fan=fan, block_bytes=block_bytes).collect())
+    assert table == sorted((len(g), c) for g, c in counts.items() if c >= 2)
 
 
 def test_pipeline_against_plain_python(spark):
