@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import WordScanner, grams, mix, word_bytes
+from twinsieve.llm.textscan import WordScanner, mix, word_bytes
 from twinsieve.shared import materialize
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 FAN = 256
 #: The hash whose count is that of all words.
 TOTAL = np.uint64(0)
@@ -57,6 +57,17 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(blob, np.uint64), dtype=np.uint64)
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and each key's place among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], inverse
+
+
 class Block:
     """The n-grams of a block's documents, and what is known of their counts so far."""
 
@@ -67,7 +78,7 @@ class Block:
         self.words = np.concatenate([w for w, _ in parts])
         self.counts = np.concatenate([np.diff(s) for _, s in parts])
         self.splits = np.concatenate([[0], np.cumsum(self.counts)])
-        self.place = np.arange(len(self.words)) - np.repeat(self.splits[:-1], self.counts)
+        self.place = np.arange(len(self.words), dtype=np.int32) - np.repeat(self.splits[:-1].astype(np.int32), self.counts)
         #: for n = 1..: the count of the n-gram that ends at each word, 0 where there is none or it is too rare
         self.seen: list[np.ndarray] = []
         self.total = 0
@@ -77,11 +88,14 @@ class Block:
         wanted = self.place >= n - 1
         if self.min_count > 1 and len(self.seen) >= n - 1 > 0:
             part = self.seen[n - 2] >= self.min_count
-            wanted &= part & np.concatenate([[False], part[:-1]])[: len(part)]
-        found, at = grams(self.words, self.splits, n)
-        at_word = np.arange(len(found)) + np.repeat(self.splits[:-1] + n - 1 - at[:-1], np.diff(at))
-        keep = wanted[at_word]
-        return at_word[keep], np.maximum(mix(found[keep] + np.uint64(n)), np.uint64(1))
+            wanted &= part
+            wanted[1:] &= part[:-1]
+        at = np.flatnonzero(wanted).astype(np.int32)
+        key = np.full(len(at), n, np.uint64)
+        for k in range(n - 1, -1, -1):
+            key *= np.uint64(0xD6E8FEB86659FD93)
+            key += self.words[at - k]
+        return at, np.maximum(mix(key), np.uint64(1))
 
     def ask(self, orders: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of n-grams of these orders, and their counts here; TOTAL first."""
@@ -91,11 +105,11 @@ class Block:
     def take(self, orders: list[int], sums: np.ndarray) -> None:
         """The answers to ``ask``."""
         both = [self.keys(n) for n in orders]
-        found = np.unique(np.concatenate([k for _, k in both]))
         self.total = int(sums[0])
+        of_key = sums[1:][_ranks(np.concatenate([k for _, k in both]))[1]]
         for at, k in both:
             seen = np.zeros(len(self.words), np.int64)
-            seen[at] = sums[1 + np.searchsorted(found, k)]
+            seen[at], of_key = of_key[: len(k)], of_key[len(k) :]
             self.seen.append(seen)
 
 
@@ -124,7 +138,7 @@ def _messages(found: np.ndarray, counts: np.ndarray, src: int, edges: np.ndarray
 def _merged(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Lengths of the messages, their distinct hashes, each hash's place among these, and the sums of the counts."""
     asked = [unpack_keys(x) for x in table.column("grams").to_pylist()]
-    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    found, inverse = _ranks(np.concatenate(asked))
     counts = [_from_planes(x, np.uint32) for x in table.column("counts").to_pylist()]
     return [len(a) for a in asked], found, inverse, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
 
