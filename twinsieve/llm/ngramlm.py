@@ -33,8 +33,8 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6 << 20
-FAN = 256
+BLOCK_BYTES = 3 << 20
+FAN = 512
 #: The hash whose count is that of all words.
 TOTAL = np.uint64(0)
 
