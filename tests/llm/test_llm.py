@@ -139,6 +139,8 @@ def test_language_of_odd_rows(spark, odd):
     rows = langid.identify(d, langid.fit(d), ["doc_id"]).collect()
     assert len(rows) == len(odd) and sorted(r["lang_pred"] for r in rows) == sorted("en" if t and any(c.isalpha() for c in t) else "und" for _, t in odd)
     assert {r["lang_pred"] for r in langid.identify(d, None, ["doc_id"]).collect()} <= {"und"}
+    with pytest.raises(ValueError, match="clash"):
+        langid.identify(d.withColumn("Score", F.lit(1)), None, ["doc_id", "Score"])
 
 
 def test_gradients_by_differences():
@@ -293,16 +295,69 @@ def test_pipeline_against_plain_python(spark):
     assert kept == {i for i, t in docs if near[i] == i and i in clean}
 
 
+CLASH = ["_id", "_hash", "score", "lang_pred", "grp", "tie", "chunk", "src", "sid", "group_id", "hits", "row", "c0", "text_hash", "prefix"]
+
+
 def test_every_stage_survives_odd_rows(spark, odd, tmp_path):
     spark.createDataFrame([(1, "some benchmark words that nobody else has written")], "item_id long, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
-    d = frame(spark, odd)
-    for _, stage in corpus_pipeline.STAGES:
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    d = spark.createDataFrame([(i, t, None if i == 3 else "en", None, None, *(f"{c}{i}" for c in CLASH)) for i, t in odd], kind)
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, d, f"file://{tmp_path}/sf")
-        ids = sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str)
-        if stage is corpus_pipeline.near_copies:
-            assert ids == sorted((i for i in dict.fromkeys(i for i, _ in odd) if i != 4), key=str)
-        elif stage is not corpus_pipeline.language and stage is not corpus_pipeline.pack:
-            assert len(ids) == len(odd)
+        rows = out.collect()
+        ids = sorted((r["doc_id"] for r in rows), key=str)
+        want = [i for i, _ in odd]
+        if name == "near_copies":
+            want = [i for i in dict.fromkeys(want) if i != 4]
+        elif name == "language":
+            want = [i for i, t in odd if t and any(c.isalpha() for c in t)]
+        if name == "packing":
+            assert set(ids) == set(want)
+            continue
+        assert ids == sorted(want, key=str), name
+        assert out.columns == d.columns and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASH)
+
+
+def test_pipeline_keeps_no_more_than_its_last_input(spark):
+    from twinsieve import shared
+
+    before = set(shared._made)
+    corpus_pipeline.run(spark, SF).count()
+    import os
+
+    stages = [f for p in set(shared._made) - before for f in (os.listdir(p.removeprefix("file://")) if os.path.isdir(p.removeprefix("file://")) else []) if f[0] in "012" and f[1] == "_"]
+    assert stages == ["2_decontamination"]
+
+
+def test_windows_and_margins_against_single_rows(spark):
+    """Distributions of all rows together are those of each row read byte by byte, window by window."""
+    rng = np.random.default_rng(11)
+    net = langid.Net.new(["a", "b", "c"], 4, rng)
+    rows = [b"", b"x", bytes(rng.integers(0, 256, 63, np.uint8)), bytes(rng.integers(0, 256, 64, np.uint8)), bytes(rng.integers(0, 256, 1000, np.uint8))]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = langid.document_distributions(net, np.frombuffer(b"".join(rows), np.uint8), offsets)
+
+    def plain(d, part):
+        w, u, v = net.inputs[d].astype(float), net.recurrent[d].astype(float), net.out[d].astype(float)
+        h, n, out = np.zeros(u.shape[1]), u.shape[1], []
+        for c in part if d == 0 else part[::-1]:
+            x, a = w[:, c], u @ h
+            gates = np.clip((x[: 2 * n] + a[: 2 * n]) / 4 + 0.5, 0, 1)
+            z, r = gates[:n], gates[n:]
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :])
+            out.append(v @ h)
+        return out if d == 0 else out[::-1]
+
+    for r, p in zip(rows, got, strict=True):
+        total = np.zeros(3)
+        for k in range(0, len(r), langid.WINDOW):
+            low = max(0, k - langid.MARGIN)
+            part = list(r[low : k + langid.WINDOW + langid.MARGIN])
+            logits = np.array(plain(0, part)) + np.array(plain(1, part)) + net.bias
+            logits = logits[k - low : k - low + min(langid.WINDOW, len(r) - k)]
+            e = np.exp(logits - logits.max(1, keepdims=True))
+            total += (e / e.sum(1, keepdims=True)).sum(0)
+        assert p == pytest.approx(total / max(1, len(r)), abs=1e-4)
 
 
 def test_registered():

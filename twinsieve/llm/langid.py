@@ -2,7 +2,8 @@
 
 The network reads the UTF-8 bytes of a text in windows of ``WINDOW`` bytes, forwards and backwards,
 and gives every byte a distribution over the languages; a document's distribution is the mean over
-all its bytes. It is trained in numpy by backpropagation through time on a bounded sample of the
+all its bytes. A window also reads ``MARGIN`` bytes of the text on either side, so that the states
+have met the words at its edges; the labels of these belong to the neighbouring windows. It is trained in numpy by backpropagation through time on a bounded sample of the
 labelled documents. Prediction runs over whole texts, thousands of windows at a time, features
 first and windows last, so that each step is a few large array operations.
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from twinsieve.llm.textscan import slices
 
 WINDOW = 64
+MARGIN = 8
 HIDDEN = 8
 PAD = 256
 #: The bounded sample: documents of each language, and bytes of each.
@@ -151,13 +153,18 @@ def _gradients(net: Net, codes: np.ndarray, targets: np.ndarray) -> tuple[float,
     return float(loss), grads
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (window, n) of all windows of all rows, and where each row's windows begin."""
+def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, margin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (window and both margins, n) of all windows of all rows, and where each row's windows begin."""
     lengths = np.diff(offsets)
-    first = np.concatenate([[0], np.cumsum(-(-lengths // window))]).astype(np.int64)
-    codes = np.full(first[-1] * window, PAD, np.uint16)
-    codes[np.arange(len(data)) + np.repeat(first[:-1] * window - offsets[:-1], lengths)] = data
-    return np.ascontiguousarray(codes.reshape(-1, window).T), first
+    n = -(-lengths // window)
+    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    start = window * (np.arange(first[-1]) - np.repeat(first[:-1], n)) - margin
+    place = start[:, None] + np.arange(window + 2 * margin)
+    inside = (place >= 0) & (place < np.repeat(lengths, n)[:, None])
+    place += np.repeat(offsets[:-1], n)[:, None]
+    codes = np.full(place.shape, PAD, np.uint16)
+    codes[inside] = data[place[inside]]
+    return np.ascontiguousarray(codes.T), first
 
 
 def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7) -> Net:
@@ -189,12 +196,12 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
 
 def document_distributions(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean over each row's bytes of their distributions: (rows, L); zeros for rows without bytes."""
-    codes, first = windows(data, offsets)
+    codes, first = windows(data, offsets, margin=MARGIN)
     sums = np.zeros((codes.shape[1] + 1, len(net.langs)))
     for k in range(0, codes.shape[1], BLOCK):
         block = codes[:, k : k + BLOCK]
-        p = label_bytes(net, block)
-        p *= (block != PAD)[:, None, :]
+        p = label_bytes(net, block)[MARGIN : MARGIN + WINDOW]
+        p *= (block[MARGIN : MARGIN + WINDOW] != PAD)[:, None, :]
         sums[k : k + block.shape[1]] = p.sum(axis=0).T
     total = np.cumsum(np.vstack([np.zeros((1, len(net.langs))), sums[:-1]]), axis=0)
     out = total[first[1:]] - total[first[:-1]]
@@ -240,11 +247,15 @@ def fit(docs: DataFrame) -> Net | None:
     return train(texts, labels) if texts else None
 
 
-def identify(docs: DataFrame, net: Net | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, ``lang_pred`` and ``score``; ``text`` alone decides.
+def identify(docs: DataFrame, net: Net | None, keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row, ``pred`` and ``score``; ``text`` alone decides.
 
-    ``und`` with score 0 where the text is null or has no letter, or no language could be learned.
+    ``und`` with score 0 where the text is null or has no letter, or no language could be learned. Texts of
+    any length are read whole; repeated rows are judged each; an empty table gives no rows. Columns outside
+    ``keep`` are not read; one in it that is named as a result is refused.
     """
+    if {c.lower() for c in keep} & {pred.lower(), score.lower()}:
+        raise ValueError(f"kept columns clash with {pred} or {score}: name the results otherwise")
     names = [f"c{k}" for k in range(len(keep))]
     schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
 
@@ -264,9 +275,9 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str]) -> DataFrame:
                 pred = np.where(some, langs[best].astype(object), UNKNOWN)
                 top = np.where(some, top, 0.0)
                 part = [batch.column(c).slice(first, n) for c in names]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(pred, pa.string()), pa.array(top, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part, pa.array(pred, pa.string()), pa.array(top, pa.float64())], [*names, "_pred", "_score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col("text").alias("_text"), letters.alias("_letters"))
-    done = rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "lang_pred", "score")
+    done = rows.mapInArrow(predict, f"{schema}, _pred string, _score double")
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.col("_pred").alias(pred), F.col("_score").alias(score))
