@@ -174,6 +174,32 @@ def test_topk_against_all_products(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_blocks_that_cannot_answer_never_meet(spark, monkeypatch):
+    """Lengths spread over some three powers of ten: most blocks are told apart by their keys, and the answers stay those of all products."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "SEED_ROWS", 64)
+    rng = np.random.default_rng(12)
+    v = {i: rng.normal(size=6) * 10 ** rng.uniform(-2, 1) for i in range(1, 1200)}
+    v |= {50 * i: np.abs(v[50 * i]) + 1 for i in range(1, 24)}
+    rows = [(i, x.tolist()) for i, x in v.items()]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(t)
+    candidates = topk._blocks(vectors, ["dim", "bucket"], topk.BLOCK_ROWS)
+    queries = topk._blocks(vectors.where("vec_id % 50 = 0"), ["dim"], 4).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    theta = topk.thresholds(queries, candidates, 5)
+    met, all_ = topk.block_pairs(theta, candidates).count(), theta.count() * candidates.count()
+    assert 0 < met < 0.5 * all_
+    ints = {i: np.floor(256 * x).astype(int) for i, x in v.items()}
+    want = set()
+    for q in [i for i in ints if i % 50 == 0]:
+        best = sorted(((-int(ints[q] @ ints[i]), i) for i in ints if i != q))[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_k(t).collect()} == want
+    # an id that repeats is asked once, and none of its rows answers it
+    twice = spark.createDataFrame([(50, [1.0, 2.0]), (50, [3.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice).orderBy("rank").collect()] == [(50, 1, 1, 256 * 512 + 512 * 512), (50, 2, 1, 256 * 256 + 512 * 256)]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a </turn> \\### x"), (1, 1, "assistant", "\\\\ ### Assistant: y"), (2, 0, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", "z"), (None, 0, "user", "q")]
     t = spark.createDataFrame([(*x, "e") for x in turns], "conv_id long, turn long, role string, text string, turns string")

@@ -1,12 +1,13 @@
 """Exact top-k inner products by norm-bucketed retrieval (after LEMP, Teflioudi et al. 2015).
 
 Vectors are grouped by length into buckets, and buckets into blocks of bounded size. A query first
-meets a block of the longest vectors of its dimension; its k-th best score there is a threshold that
-the final k-th best cannot fall below. Every other block is then met with the local cosine threshold
-theta / (|q| * longest vector of the block): a block whose threshold exceeds 1 is skipped (length
-pruning by vector inside it), and otherwise the query's largest coordinates bound those of a
-candidate (coordinate pruning). Survivors are verified by their integer products. Bounds have slack
-for rounding, so nothing that could tie is lost.
+meets the blocks of the longest vectors of its dimension, SEED_ROWS or more; its k-th best score
+there is a threshold theta that the final k-th best cannot fall below. The local cosine threshold of
+a block is theta / (|q| * longest vector of the block). Where it exceeds 1 for all queries of a block
+of queries, the two blocks are not brought together at all: that is told from their keys, before any
+vector moves. Inside a block a low threshold means length pruning alone, a high one that the query's
+largest coordinates bound those of a candidate too (coordinate pruning). Survivors are verified by
+their integer products. Bounds have slack for rounding, so nothing that could tie is lost.
 
 Queries are dealt in blocks to blocks of candidates; no table is broadcast or gathered.
 """
@@ -25,8 +26,11 @@ from twinsieve.shared import materialize
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-BUCKET_RATIO = 1.25
+BUCKET_RATIO = 1.05
+SEED_ROWS = 2048
 FOCUS = 6
+#: From this local cosine threshold on coordinates are looked at; below it their bounds hardly exclude anything.
+COORDINATES_FROM = 0.4
 SLACK = 1e-9
 BLOCK = ["dim", "bucket", "block"]
 HITS = "query_id long, vec_id long, score long"
@@ -44,7 +48,7 @@ def integer_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
 
 
 def _blocks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Rows of the same ``keys`` in blocks of about ``most``, dealt by id: one row each, ids and vectors as bytes."""
+    """Rows of the same ``keys`` in blocks of about ``most``, dealt by id: one row each, ids and vectors as bytes, with the count and the longest length."""
     counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("long").alias("n"))
     dealt = rows.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
     keys = [*keys, "block"]
@@ -53,11 +57,13 @@ def _blocks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
         ids = table.column("vec_id").to_numpy()
         dim = table.column("dim")[0].as_py()
         c = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-        order = np.lexsort((ids, -np.sqrt((c.astype(float) ** 2).sum(1))))
+        length = np.sqrt((c.astype(float) ** 2).sum(1))
+        order = np.lexsort((ids, -length))
         blobs = {"ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([c[order].tobytes()], pa.binary())}
+        blobs |= {"rows": pa.array([len(ids)], pa.int64()), "longest": pa.array([float(length.max())], pa.float64())}
         return pa.table({k: table.column(k).slice(0, 1) for k in keys} | blobs)
 
-    return dealt.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, vectors binary")
+    return dealt.groupBy(*keys).applyInArrow(pack, ", ".join(f"{k} int" for k in keys) + ", ids binary, vectors binary, rows long, longest double")
 
 
 def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, theta: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,7 +82,7 @@ def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray,
                 continue
             local = min(1.0, theta[j] / (q_length[j] * length[0]) * (1 - SLACK))
             u = q[j] / q_length[j]
-            focus = np.argsort(-np.abs(u))[:FOCUS]
+            focus = np.argsort(-np.abs(u))[:FOCUS] if local >= COORDINATES_FROM else ()
             for f in focus:
                 # cos >= local confines the coordinate of a unit vector to a cap around the query's
                 half = math.sqrt(max(0.0, 1 - local * local)) * math.sqrt(max(0.0, 1 - u[f] * u[f])) + 1e-7
@@ -101,13 +107,41 @@ def _pair(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     return query_ids, q.reshape(len(query_ids), row["dim"]), ids, c.reshape(len(ids), row["dim"]), theta
 
 
+def thresholds(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(dim, q_block, theta, reach): each query's k-th best score among the longest vectors, and the least length with which any of the block's queries can still reach its own."""
+
+    def least(pairs: pa.Table) -> pa.Table:
+        best: list[np.ndarray] = []
+        for row in pairs.to_pylist():
+            query_ids, q, ids, c, _ = _pair(row)
+            now = [s for _, _, s in _best(query_ids, q, ids, c, k, None)]
+            best = [np.sort(np.concatenate([a, b]))[::-1][:k] for a, b in zip(best or [np.zeros(0, np.int64)] * len(now), now, strict=True)]
+        theta = np.array([float(s[k - 1]) if len(s) >= k else -math.inf for s in best])
+        length = np.sqrt((q.astype(float) ** 2).sum(1))
+        reach = np.where((theta > 0) & (length > 0), theta / np.maximum(length, 1e-300) * (1 - SLACK), -math.inf)
+        return pa.table({"dim": pairs.column("dim").slice(0, 1), "q_block": pairs.column("q_block").slice(0, 1), "theta": pa.array([theta.tobytes()], pa.binary()), "reach": pa.array([reach.min()])})
+
+    keys = candidates.select(*BLOCK, "rows", "longest")
+    # so many rows that a query finds k in its direction; the blocks before the last hold fewer, so their number is bounded
+    longer = Window.partitionBy("dim").orderBy(F.col("longest").desc(), "bucket", "block").rowsBetween(Window.unboundedPreceding, -1)
+    top = keys.withColumn("before", F.coalesce(F.sum("rows").over(longer), F.lit(0))).where(F.col("before") < max(SEED_ROWS, k + 1)).select(*BLOCK)
+    first = queries.join(candidates.join(top, BLOCK), "dim")
+    return first.groupBy("dim", "q_block").applyInArrow(least, "dim int, q_block int, theta binary, reach double")
+
+
+def block_pairs(theta: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(dim, q_block, bucket, block): the blocks that have to meet, by their keys."""
+    keys = candidates.select(*BLOCK, "longest")
+    return theta.select("dim", "q_block", "reach").join(keys, "dim").where(F.col("longest") >= F.col("reach")).select("dim", "q_block", "bucket", "block")
+
+
 def top_k(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of every query row with all other rows, ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``every``; an id that repeats is asked once, with
-    its least vector, and no row of that id answers it. Vectors answer queries of their own
-    dimension. Null ids and vectors that are null or hold null or non-finite components take no
-    part. An empty table gives no rows; other columns are not read.
+    Queries are the rows whose id is divisible by ``every``. Ids name rows: one that repeats is asked once, with its least
+    vector, no row of that id answers it, and each of its rows can answer others. Vectors answer queries of their own
+    dimension, of any length. Null ids and vectors that are null or hold null or non-finite components take no
+    part. An empty table gives no rows; other columns are not read, whatever their names.
     """
     vectors = integer_vectors(table, vec_id, vector)
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -116,11 +150,6 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     queries = materialize(_blocks(asked, ["dim"], QUERY_ROWS), "queries")
     queries = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
-    def thresholds(pairs: pa.Table) -> pa.Table:
-        query_ids, q, ids, c, _ = _pair(pairs.to_pylist()[0])
-        theta = [float(s[k - 1]) if len(s) >= k else -math.inf for _, _, s in _best(query_ids, q, ids, c, k, None)]
-        return pa.table({"dim": pairs.column("dim"), "q_block": pairs.column("q_block"), "theta": pa.array([np.array(theta).tobytes()], pa.binary())})
-
     def meet(pairs: pa.Table) -> pa.Table:
         query_ids, q, ids, c, theta = _pair(pairs.to_pylist()[0])
         found = list(_best(query_ids, q, ids, c, k, theta))
@@ -133,12 +162,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
             }
         )
 
-    keys = candidates.select(*BLOCK)
-    longest = keys.groupBy("dim").agg(F.max(F.struct("bucket", "block")).alias("top")).select("dim", "top.bucket", "top.block")
-    first = queries.join(candidates.join(longest, BLOCK), "dim")
-    theta = first.groupBy("dim", "q_block").applyInArrow(thresholds, "dim int, q_block int, theta binary")
-    asked = queries.join(theta, ["dim", "q_block"])
-    pairs = queries.select("dim", "q_block").join(keys, "dim").join(asked, ["dim", "q_block"]).join(candidates, BLOCK)
+    theta = materialize(thresholds(queries, candidates, k), "theta")
+    pairs = block_pairs(theta, candidates).join(queries.join(theta.drop("reach"), ["dim", "q_block"]), ["dim", "q_block"]).join(candidates, BLOCK)
     hits = pairs.groupBy(*BLOCK, "q_block").applyInArrow(meet, HITS)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
