@@ -269,6 +269,57 @@ def test_numbers_of_links_against_all_pairs(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in setjoin.jaccard_components(docs, links=True).collect()} == want
 
 
+def plain_tiles(item, text, least):
+    """Greedy string tiling as first described: the longest runs of unmarked words, marked as long as they don't overlap, then again."""
+    free_i, free_t, covered = [True] * len(item), [True] * len(text), 0
+    while True:
+        longest, found = least, []
+        for i in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and free_i[i + n] and free_t[t + n]:
+                    n += 1
+                if n > longest:
+                    longest, found = n, [(i, t)]
+                elif n == longest:
+                    found.append((i, t))
+        marked = False
+        for i, t in found:
+            if all(free_i[i : i + longest]) and all(free_t[t : t + longest]):
+                free_i[i : i + longest] = free_t[t : t + longest] = [False] * longest
+                covered, marked = covered + longest, True
+        if not marked:
+            return covered
+
+
+def test_decontamination_against_plain_tiling(spark):
+    rng = random.Random(13)
+    items = [[f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 3, 4, 5, 9, 24, 40]))] for _ in range(14)]
+    items += [["only", "two"], items[6], ["a"] * 12]
+    rows = list(ODD)
+    for k in range(70):
+        w = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            x = rng.choice(items)
+            a = rng.randrange(len(x))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = x[a : a + rng.randrange(3, 40)]
+        rows.append((100 + k, " ".join(w)))
+    rows += [(300 + k, " ".join(x).upper()) for k, x in enumerate(items)]
+    bench = spark.createDataFrame([(k, ", ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
+    want = []
+    for d, t in rows:
+        w = words(t, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        if len(w) > 1000:
+            continue
+        for k, x in enumerate(items):
+            covered = plain_tiles(x, w, 5) if len(x) >= 5 else len(x) * (x == w)
+            if covered >= 0.5 * len(x):
+                want.append((d, k, covered))
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["covered_words"]) for r in got) == sorted(want) and len(want) > 25
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     item = [f"w{rng.randrange(1000)}" for _ in range(40)]

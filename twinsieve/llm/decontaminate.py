@@ -8,7 +8,10 @@ parts were moved is covered all the same. A pair counts when its tiles cover ``t
 item's words.
 
 Documents without any seed leave in the first pass by a filter of fixed size; seeds then meet by an
-exact join, so a large benchmark needs no broadcast.
+exact join, salted by document, so a large benchmark needs no broadcast and a seed that many
+documents hold is dealt out. Tiles consist of shared seeds, so the item's words inside shared seeds
+bound what tiles can cover: texts are brought together only for pairs whose bound reaches the
+threshold. Items too short for a seed match documents that consist of their words and no others.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from twinsieve.shared import materialize
 MIN_MATCH = 5
 THRESHOLD = 0.5
 FILTER_BITS = 1 << 23
+#: Parts into which the documents of one seed or item are dealt; the benchmark's side is repeated so often.
+SALTS = 16
 
 
 def _runs(words: np.ndarray, free: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +84,22 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH)
         s = max(min_match, s // 2)
 
 
+def _seeds(words: np.ndarray, splits: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every row's runs of ``min_match`` words, or of the one sequence of a row that has fewer, and where each row's begin."""
+    parts, counts = [], np.diff(splits)
+    found, at = grams(words, splits, min_match)
+    sizes = np.diff(at)
+    parts.append((np.repeat(np.arange(len(counts)), sizes), found))
+    for m in range(1, min_match):
+        few = np.flatnonzero(counts == m)
+        if len(few):
+            found, at = grams(words, splits, m)
+            parts.append((few, found[at[few]]))
+    rows, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(rows, kind="stable")
+    return found[order], np.searchsorted(rows[order], np.arange(len(counts) + 1))
+
+
 def _bits(seeds: np.ndarray) -> list[np.ndarray]:
     return [((seeds >> np.uint64(shift)) % np.uint64(FILTER_BITS)).astype(np.int64) for shift in (0, 13, 29)]
 
@@ -87,9 +108,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     """(doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile, ``extra``) of the rows of ``docs`` that contain an item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Words are maximal runs of ASCII
-    letters and digits and of all characters beyond ASCII; A-Z count as a-z. Null or empty texts,
-    and items of fewer than ``min_match`` words, match nothing. Repeated rows on either side are
-    reported each. Empty tables give no rows. ``extra`` names columns of ``docs`` to carry along.
+    letters and digits and of all characters beyond ASCII; A-Z count as a-z. Null or empty texts
+    match nothing; items of fewer than ``min_match`` words match documents of the same words. Texts of
+    any length are searched whole. Of equally long tiles the one first in the item, then in the text, is
+    marked. Repeated rows on either side are reported each. Empty tables give no rows. ``extra`` names
+    columns of ``docs`` to carry along; others are not read, whatever their names.
     """
     extra = extra or []
 
@@ -97,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         scanner = WordScanner(word_bytes(alnum_only=True))
         for batch in batches:
             for first, words, splits in scanner.scan(batch.column("item_text")):
-                found, at = grams(words, splits, min_match)
+                found, at = _seeds(words, splits, min_match)
                 n = len(splits) - 1
                 part = [batch.column(c).slice(first, n) for c in ("item", "item_id", "item_text")]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.view(np.int64)))
@@ -105,7 +128,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("item_text"))
     items = materialize(items.mapInArrow(seeds_of, "item long, item_id long, item_text string, item_words long, seeds array<long>").where(F.size("seeds") > 0), "items")
-    seeds = items.select("item", "item_words", F.explode(F.array_distinct("seeds")).alias("seed"))
+    seeds = items.select("item", "item_words", F.posexplode("seeds").alias("place", "seed"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
 
     # the filter: at most FILTER_BITS / 32 rows reach the driver
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         scanner = WordScanner(word_bytes(alnum_only=True))
         for batch in batches:
             for first, words, splits in scanner.scan(batch.column("text")):
-                found, at = grams(words, splits, min_match)
+                found, at = _seeds(words, splits, min_match)
                 hit = np.ones(len(found), bool)
                 for b in _bits(found):
                     hit[hit] = (bitmap[b[hit] // 32] >> (b[hit] % 32).astype(np.uint32) & 1).astype(bool)
@@ -139,10 +163,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     found = rows.mapInArrow(hits_of, f"{kinds}, hits array<long>")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "hits")
 
-    shared = found.select("row", F.explode(F.array_distinct("hits")).alias("seed")).join(seeds, "seed")
-    # tiles of min_match words or more that cover the threshold hold so many different seeds at least, if the item repeats none
-    pairs = shared.groupBy("row", "item").agg(F.count("*").alias("n")).select("row", "item")
-    joined = pairs.join(found.drop("hits"), "row").join(items.select("item", "item_id", "item_text", "item_words"), "item")
+    salt = F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")
+    shared = found.select("row", salt, F.explode(F.array_distinct("hits")).alias("seed")).join(seeds.select("*", every), ["seed", "salt"])
+    # words of the item inside shared seeds: each place adds its words up to the next place's
+    places = shared.groupBy("row", "salt", "item", "item_words").agg(F.sort_array(F.collect_set("place")).alias("p"))
+    reach = F.least(F.lit(min_match), F.col("item_words"))
+    gaps = F.zip_with(F.slice("p", F.lit(2), F.greatest(F.lit(0), F.size("p") - 1)), F.slice("p", F.lit(1), F.greatest(F.lit(0), F.size("p") - 1)), lambda b, a: F.least(b - a, F.lit(min_match)))
+    bound = F.aggregate(gaps, reach.cast("long"), lambda s, x: s + x)
+    pairs = places.where(bound >= F.col("item_words") * threshold).select("row", "salt", "item")
+    joined = pairs.join(found.drop("hits"), "row").join(items.select("item", "item_id", "item_text", "item_words", every), ["item", "salt"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(word_bytes(alnum_only=True))
@@ -150,7 +179,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
             sides = []
             for name in ("item_text", "text"):
                 sides.append([w[s:e] for _, w, splits in scanner.scan(batch.column(name)) for s, e in zip(splits[:-1], splits[1:], strict=True)])
-            tiles = [greedy_tiles(i, t, min_match) for i, t in zip(*sides, strict=True)]
+            # a short item's one seed is shared by texts of the same words alone
+            tiles = [greedy_tiles(i, t, min_match) if len(i) >= min_match else [(0, 0, len(i))] * np.array_equal(i, t) for i, t in zip(*sides, strict=True)]
             covered = pa.array([sum(n for _, _, n in x) for x in tiles], pa.int64())
             part = [batch.column(c) for c in ("doc_id", "item_id", "item_words")]
             yield pa.RecordBatch.from_arrays(
