@@ -81,14 +81,73 @@ def test_first_fit_decreasing():
             assert all(x[0] + x[1] == y[0] for x, y in zip(at, at[1:], strict=False)) and at[0][0] == 0
 
 
+def check_packing(pieces, docs, length):
+    """Every document is rebuilt from its pieces, every sequence is gapless from 0."""
+    left = {}
+    for i, ids in docs:
+        left.setdefault(i, []).append(ids)
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault((p["doc_id"], p["doc_tokens"]), []).append(p)
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for places in by_sequence.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(places[-1]) <= length
+    for (i, n), ps in by_doc.items():
+        want = [x for x in left[i] if len(x) == n]
+        for start in {p["start"] for p in ps}:
+            got = sorted(p["ids"] for p in ps if p["start"] == start)
+            assert got == sorted(x[start : start + length] for x in want)
+        assert sum(p["length"] for p in ps) == n * len(want)
+    assert {(i, len(x)) for i, x in docs} == set(by_doc)
+
+
+def test_equal_rows_do_not_share_a_group(spark):
+    d = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    pieces = packing.pack_documents(d, tokens.tokenizer_path("byte_bpe_50k.json"), 1, length=64, group_docs=100).collect()
+    per_group = {}
+    for p in pieces:
+        per_group[p["sequence_id"] >> 32] = per_group.get(p["sequence_id"] >> 32, 0) + 1
+    assert len(pieces) == 4000 and len(per_group) > 20 and max(per_group.values()) < 400
+    assert len({p["sequence_id"] for p in pieces}) <= 4000 // 64 + len(per_group)
+
+
+def test_token_files_are_made_for_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of document"), F.col("id"), F.lit("and its neighbour"), F.col("id") + 1).alias("text"))
+    path = f"{tmp_path}/t"
+    tokenfiles.write_tokens(d, f"file://{path}", tokens.tokenizer_path("word_bpe_49k.json"), 2, row_group_bytes=20_000, page_bytes=4096, page_rows=500)
+    files = sorted(str(f) for f in __import__("pathlib").Path(path).glob("*.parquet"))
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                name = column.path_in_schema
+                assert column.has_offset_index and column.has_column_index and column.statistics is not None or name.startswith("ids")
+                assert ("RLE_DICTIONARY" in column.encodings) == name.startswith("ids"), (name, column.encodings)
+                assert name.startswith("ids") or "DELTA_BINARY_PACKED" in column.encodings
+    assert groups > len(files)
+    part = tokenfiles.read_range(spark, f"file://{path}", 100, 119)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and sorted(r["doc_id"] for r in part.collect()) == list(range(100, 120))
+    plan = tokenfiles.read_metadata(spark, f"file://{path}")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1]
+
+
 def test_packing_and_files_round_trip(spark, odd, tmp_path):
     d = frame(spark, odd)
     lib = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
     lib.encode_special_tokens = True
-    want = sorted(lib.encode(t or "", add_special_tokens=False).ids + [1] for _, t in odd)
     pieces = packing.pack_documents(d, tokens.tokenizer_path("byte_bpe_50k.json"), 1, length=64, group_docs=3).collect()
     assert all(len(p["ids"]) == p["length"] <= 64 for p in pieces)
-    assert sorted(x for p in pieces for x in p["ids"]) == sorted(x for w in want for x in w)
+    check_packing(pieces, [(i, lib.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in odd], 64)
+    digests = packing.pack_documents(d, tokens.tokenizer_path("byte_bpe_50k.json"), 1, length=64, group_docs=3, project=packing.digest_pieces, schema=packing.DIGESTS).collect()
+    crc = [(*(p[c] for c in ("start", "length", "doc_tokens")), zlib.crc32(np.array(p["ids"], "<u4").tobytes())) for p in pieces]
+    assert sorted(crc) == sorted((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in digests)
     tokenfiles.write_tokens(d, f"file://{tmp_path}/t", tokens.tokenizer_path("word_bpe_49k.json"), 2)
     rows = sorted(tokenfiles.token_digests(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"])
     lib = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))

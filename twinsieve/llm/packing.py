@@ -1,7 +1,7 @@
 """Packing into fixed-length sequences: first-fit decreasing over a tournament tree, per random group.
 
-Documents fall into groups by a hash of id and text, of about ``group_docs`` each however large the
-table is; each group is packed on its own, so groups run in parallel and need no order among them.
+Documents fall into groups by a hash of id, text and place in the table, of about ``group_docs`` each
+however large the table is and however many rows are equal; each group is packed on its own, so groups run in parallel and need no order among them.
 In a group every document is cut into full sequences and a rest; the rests are placed by falling
 length, each into the first open sequence with room. The tree holds the free room of the sequences
 at its leaves and the larger of its children above, so the first fit is one walk from the root.
@@ -60,8 +60,9 @@ def pack_documents(
 
     Each document's ids, closed by ``end_id``, lie in order in its pieces; a sequence holds at most
     ``length`` ids from offset 0 without gaps. ``project`` maps each group's table of pieces inside
-    its task to columns named by ``schema``. Null text: the end id alone. Repeated rows are packed
-    each. An empty table gives no pieces; other columns are not read.
+    its task to columns named by ``schema``. Null text: the end id alone. A very long text has many full
+    pieces. Repeated rows are packed each; of equally long pieces that of the smaller id is placed first.
+    An empty table gives no pieces; other columns are not read, whatever their names.
     """
     groups = max(1, math.ceil(docs.count() / group_docs))
 
@@ -94,7 +95,8 @@ def pack_documents(
         return project(out) if project else out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "tie"), F.lit(groups)))
+    # each row is read once, so its place need not come out the same again; a lost task's rows are dealt as a whole
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "tie", F.monotonically_increasing_id()), F.lit(groups)))
     return rows.groupBy("grp").applyInArrow(pack, schema)
 
 

@@ -59,12 +59,12 @@ def assign(docs: DataFrame, key: str = "doc_id", tree: dict | None = None, out:
     return docs.withColumn(out, draw(F.col(key), tree or TREE))
 
 
-def slots(rows: DataFrame, keys: DataFrame, key: str, shard: str, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
-    """``rows`` with ``slot``, gapless from 0 in each shard; ``keys`` holds key and shard of the same rows and is cheap to read.
+def slots(rows: DataFrame, keys: DataFrame, key: list[str], shard: str, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
+    """``rows`` with ``slot``, gapless from 0 in each shard; ``keys`` holds the columns of ``key`` and shard of the same rows.
 
     Rows that agree in all of ``order`` are interchangeable and get neighbouring slots.
     """
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(buckets)).cast("int")
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         keys.select(F.col(shard), bucket.alias("_bucket"))
@@ -85,8 +85,9 @@ def slots(rows: DataFrame, keys: DataFrame, key: str, shard: str, order: list[st
 def shard_documents(docs: DataFrame, tree: dict | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs`` (doc_id, text).
 
-    Null text: size 1, crc of no bytes. Null ids reach one shard. Repeated rows each get a slot.
-    Other columns of ``docs`` are not read.
+    Null text: size 1, crc of no bytes. Null ids reach one shard, where rows are numbered by their texts as well.
+    Texts of any length count whole. Repeated rows each get a slot; equal ones are interchangeable. An empty table
+    gives no rows. Other columns of ``docs`` are not read, whatever their names.
     """
     tree = tree or TREE
     one_more = 1 + max(s for racks in tree.values() for shards in racks.values() for s in shards)
@@ -98,6 +99,5 @@ def shard_documents(docs: DataFrame, tree: dict | None = None) -> DataFrame:
     )
     rows = assign(rows, tree=tree)
     rows = assign(rows, tree=grow(tree, one_more), out="grown_shard")
-    keys = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id")), tree=tree)
-    done = slots(rows, keys, "doc_id", "shard", ["doc_id", "text_crc32", "size"])
+    done = slots(rows, rows.select("doc_id", "text_crc32", "shard"), ["doc_id", "text_crc32"], "shard", ["doc_id", "text_crc32", "size"])
     return done.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"))

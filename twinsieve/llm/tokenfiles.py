@@ -42,7 +42,11 @@ def write_tokens(
     page_bytes: int = PAGE_BYTES,
     page_rows: int = PAGE_ROWS,
 ) -> None:
-    """Tokenize ``docs`` (doc_id, text) and write the files. Null text: the end id alone. An empty table writes no rows."""
+    """Tokenize ``docs`` (doc_id, text) and write the files.
+
+    Null text: the end id alone. Texts of any length are one row each. Repeated rows are written each, equal ids in order
+    of their texts' hash. An empty table writes no rows; other columns are not read, whatever their names.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, drops_space)
@@ -76,6 +80,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, seq long, n_tokens long, ids array<int>").parquet(path)
 
 
+def read_range(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """The rows of documents ``low`` to ``high``: files, row groups and pages outside are skipped by their statistics."""
+    return read_tokens(spark, path).where(F.col("doc_id").between(low, high))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, seq, n_tokens of every row; no page of ids is read."""
+    return read_tokens(spark, path).select("doc_id", "seq", "n_tokens")
+
+
 def with_start(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """``rows`` with ``start``, the ids of all documents before; ``counts`` holds seq and n_tokens of the same files.
 
