@@ -168,6 +168,36 @@ def test_licences(spark, odd):
     assert by[3]["base_labels"] == "" and by[3]["labels"] == "mit" and by[3]["score"] == 1.0 and by[3]["first_word"] is None
 
 
+def test_best_chains_against_all_chains():
+    """Every subsequence of matches that runs forwards in file and template, weighed as defined."""
+    rng = random.Random(14)
+    for _ in range(200):
+        parts = set()
+        for _ in range(rng.randrange(1, 9)):
+            run = rng.randrange(1, 6)
+            parts.add((rng.randrange(run, 30), rng.randrange(run - 1, 20), run))
+        parts = sorted(parts)
+        most = 0
+        for mask in range(1, 1 << len(parts)):
+            chain = [p for k, p in enumerate(parts) if mask >> k & 1]
+            if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:], strict=False)):
+                most = max(most, chain[0][2] + sum(min(b[2], b[1] - a[1], b[0] - a[0]) for a, b in zip(chain, chain[1:], strict=False)))
+        assert licences.best_chain(parts)[0] == most
+
+
+def test_every_occurrence_has_a_span(spark):
+    whole = licences.TEMPLATES[0][1]
+    n = len(words(whole, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    text = f"{whole} and then {whole} " + "x " * 400 + f"{whole} end"
+    row = licences.scan_licences(frame(spark, [(1, text)])).first()
+    spans = [s for s in row["spans"] if s["template"] == 0]
+    assert [(s["first_word"], s["last_word"], s["coverage"]) for s in spans] == [(0, n - 1, 1.0), (n + 2, 2 * n + 1, 1.0), (2 * n + 402, 3 * n + 401, 1.0)]
+    # phrases of one word, and runs of one word, are found too
+    one = licences.scan_licences(frame(spark, [(1, "foo bar foo baz")]), [("t", "bar foo")], {"foo": "f"}, min_run=1).first()
+    assert [(p["word"], p["label"]) for p in one["places"]] == [(0, "f"), (2, "f")] and [s["coverage"] for s in one["spans"]] == [0.5, 1.0]
+    assert len({label for label, _ in licences.TEMPLATES}) >= 15
+
+
 def test_suffix_automaton_against_plain_search():
     rng = random.Random(3)
     vocabulary = ["aa", "bb", "cc"]
@@ -302,7 +332,10 @@ def test_jaccard_against_all_pairs(spark):
     for k, (i, _) in enumerate(sets):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    assert got == {(i, len(s), least.get(find(k))) for k, (i, s) in enumerate(sets)}
+    want = {(i, len(s), least.get(find(k))) for k, (i, s) in enumerate(sets)}
+    assert got == want
+    # ids of 4 bits: sets that fall on one id are told apart by the other
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(frame(spark, rows), id_bits=4).collect()} == want
     assert setjoin.jaccard_components(frame(spark, [])).count() == 0
 
 

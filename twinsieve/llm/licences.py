@@ -4,7 +4,8 @@ The automaton holds every run of words of every template and of every base phras
 streamed through it once: after each word it knows the longest run ending there that occurs in any
 template (the matching statistic) and the state of that run. Phrases are read off the states;
 matches of ``MIN_RUN`` words or more are chained per template, in order in the file and in the
-template, and the best chain's covered template words give the template's coverage.
+template, and the best chain's covered template words give the template's coverage. A file that holds
+a template several times has a chain, and so a span, for each.
 """
 
 from __future__ import annotations
@@ -16,24 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsieve.llm.licence_texts import TEMPLATES
 from twinsieve.llm.textscan import WordScanner, slices, word_bytes
 
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, text): grants and notices of public licences.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("mit", "Released under the MIT License."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-]
 MIN_RUN = 4
 MIN_COVERAGE = 0.5
 
@@ -97,12 +84,14 @@ class Scanner:
 
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], min_run: int):
         self.words = WordScanner(word_bytes(alnum_only=True))
-        self.templates, self.min_run = templates, min_run
+        self.templates, self.min_run = templates, max(1, min_run)
         texts = [*[t for _, t in templates], *phrases]
         hashed = [h.tolist() for h in self._split_texts(texts)]
         self.vocabulary = np.array(sorted({h for x in hashed for h in x}), np.uint64)
         number = {h: k for k, h in enumerate(self.vocabulary.tolist())}
         self.sizes = [len(x) for x in hashed]
+        #: a run of known words shorter than this holds no phrase and no match
+        self.least = min([self.min_run, *(n for n in self.sizes[len(templates) :] if n)])
         self.automaton = SuffixAutomaton()
         for k, x in enumerate(hashed):
             self.automaton.add(k, [number[h] for h in x])
@@ -135,7 +124,7 @@ class Scanner:
         known = ids >= 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
         begins, ends = edges[::2], edges[1::2]
-        long = ends - begins >= 2
+        long = ends - begins >= self.least
         places, matches = [], []
         nexts, link, length, phrases = self.automaton.next, self.automaton.link, self.automaton.length, self.phrases
         for b, e in zip(begins[long].tolist(), ends[long].tolist(), strict=True):
@@ -158,7 +147,7 @@ class Scanner:
         return places, matches
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """The best chain of each template that any match touches."""
+        """The spans of each template that any match touches: of every occurrence its best chain."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for last, run, state in matches:
             for k, end in self.automaton.ends[state]:
@@ -166,22 +155,55 @@ class Scanner:
                     by.setdefault(k, []).append((last, end, run))
         out = []
         for k, parts in sorted(by.items()):
-            parts.sort()
-            # best[end] = (covered words, first file word, first template word, last file word) of a chain that ends there
-            best: dict[int, tuple[int, int, int, int]] = {}
-            for last, end, run in parts:
-                new = (run, last - run + 1, end - run + 1, last)
-                for e, (covered, first, begin, at) in best.items():
-                    if e < end and at < last:
-                        gain = min(run, end - e, last - at)
-                        new = max(new, (covered + gain, first, begin, last), key=lambda x: x[0])
-                if end not in best or new[0] >= best[end][0]:
-                    best[end] = new
-            end, (covered, first, begin, last) = max(best.items(), key=lambda x: (x[1][0], -x[1][1]))
-            out.append({"template": k, "label": self.templates[k][0], "first_word": first, "last_word": last, "first_token": begin, "last_token": end, "covered": covered, "coverage": covered / self.sizes[k]})
+            for group in occurrences(sorted(parts), self.sizes[k]):
+                covered, first, begin, last, end = best_chain(group)
+                out.append({"template": k, "label": self.templates[k][0], "first_word": first, "last_word": last, "first_token": begin, "last_token": end, "covered": covered, "coverage": covered / self.sizes[k]})
         return out
 
 
+def occurrences(parts: list[tuple[int, int, int]], size: int) -> list[list[tuple[int, int, int]]]:
+    """Matches (last file word, last template word, words) of a template of ``size`` words, in order, by occurrence.
+
+    A new one begins where as many file words as the template has lie between two matches, or where a match starts no later
+    in the template than the occurrence did, which has gone through half of the template since.
+    """
+    out: list[list[tuple[int, int, int]]] = []
+    first = deepest = 0
+    for last, end, run in parts:
+        begin = end - run + 1
+        apart = not out or last - run - out[-1][-1][0] > size
+        again = bool(out) and begin <= first and 2 * (deepest - first + 1) >= size and last > out[-1][-1][0]
+        if apart or again:
+            out.append([])
+            first, deepest = begin, end
+        out[-1].append((last, end, run))
+        first, deepest = min(first, begin), max(deepest, end)
+    return out
+
+
+def best_chain(parts: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
+    """(covered words, first file word, first template word, last file word, last template word) of the chain that covers most.
+
+    A chain's matches follow one another in the file and in the template; of one that overlaps the match before it only the
+    words beyond that count. Of equal chains the one that ends first in the file, then in the template.
+    """
+    last, end, run = (np.array(x, np.int64) for x in zip(*parts, strict=True))
+    best, before = run.copy(), np.full(len(parts), -1)
+    for i in range(1, len(parts)):
+        fine = (last[:i] < last[i]) & (end[:i] < end[i])
+        if fine.any():
+            gain = np.minimum(np.minimum(run[i], end[i] - end[:i]), last[i] - last[:i])
+            total = np.where(fine, best[:i] + gain, -1)
+            j = int(total.argmax())
+            if total[j] > best[i]:
+                best[i], before[i] = total[j], j
+    i = int(best.argmax())
+    covered, at_last, at_end = int(best[i]), int(last[i]), int(end[i])
+    while before[i] >= 0:
+        i = int(before[i])
+    return covered, int(last[i] - run[i] + 1), int(end[i] - run[i] + 1), at_last, at_end
+
+
 PLACES = "array<struct<word:bigint,label:string>>"
 SPANS = "array<struct<template:int,label:string,first_word:bigint,last_word:bigint,first_token:int,last_token:int,covered:int,coverage:double>>"
 _PLACE = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
@@ -191,7 +213,8 @@ _SPAN = pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES, min_run: int = MIN_RUN) -> DataFrame:
     """doc_id, n_words, places (of base phrases) and spans (covered template spans) of every row of ``docs`` (doc_id, text).
 
-    Null or empty text: no words, empty lists. Repeated rows are scanned each; other columns are not read.
+    Null or empty text: no words, empty lists. Texts of any length are scanned whole. Repeated rows are scanned each; an
+    empty table gives no rows; other columns are not read, whatever their names. Of chains that cover equally much the first counts.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import WordScanner, grams, mix, word_bytes
 from twinsieve.operators.components import connected_components
-from twinsieve.shared import freeing_shuffles, materialize
+from twinsieve.shared import discard, freeing_shuffles, materialize
 
 #: Grams that count as frequent: those in more prefixes than this, and at most MOST_FREQUENT of them.
 FREQUENT = 64
@@ -77,9 +77,20 @@ class SetScanner:
             yield first, out
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 63-bit id of a set: equal for equal sets."""
-    return int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0] >> np.uint64(1))
+ID_BITS = 63
+
+
+def both_ids(s: np.ndarray, id_bits: int = ID_BITS) -> tuple[int, int]:
+    """Two ids of a set, independent of each other, equal for equal sets."""
+    first = mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0] >> np.uint64(64 - id_bits)
+    second = mix(np.array([mix(s ^ np.uint64(0xA0761D6478BD642F)).sum() ^ np.uint64(len(s))]))[0] >> np.uint64(1)
+    return int(first), int(second)
+
+
+def set_id(s: np.ndarray, clash: frozenset[int] = frozenset(), id_bits: int = ID_BITS) -> int:
+    """The first id of a set, or the second where different sets have the first."""
+    first = int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0] >> np.uint64(64 - id_bits))
+    return both_ids(s, id_bits)[1] if first in clash else first
 
 
 def sketch(s: np.ndarray, log_bits: int = 8) -> np.ndarray:
@@ -104,14 +115,16 @@ def sketches_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, sid, prefix): the set's size and id, and the prefix under the plain order of hashes."""
+def digests(docs: DataFrame, n: int, percent: int, clash: frozenset[int] = frozenset(), id_bits: int = ID_BITS) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, sid, other, prefix): the set's size, its id and other id, and the prefix under the plain order of hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
         for batch in batches:
             for first, sets in scanner.sets(batch.column("text")):
-                ids = [set_id(s) if len(s) else None for s in sets]
+                pairs = [both_ids(s, id_bits) if len(s) else (None, None) for s in sets]
+                pairs = [p[::-1] if p[0] in clash else p for p in pairs]
+                ids, others = [p[0] for p in pairs], [p[1] for p in pairs]
                 prefixes = []
                 for i, s in zip(ids, sets, strict=True):
                     fresh = i is not None and i not in seen
@@ -120,11 +133,29 @@ def digests(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(sets)), batch.column("text_hash").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "n_shingles", "sid", "prefix"],
+                    [batch.column("doc_id").slice(first, len(sets)), batch.column("text_hash").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "sid", "other", "prefix"],
                 )
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, sid long, prefix array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, sid long, other long, prefix array<long>")
+
+
+def told_apart(docs: DataFrame, n: int, percent: int, id_bits: int = ID_BITS) -> tuple[DataFrame, frozenset[int]]:
+    """The digests, and the first ids that different sets have: those go by their second id.
+
+    Of m sets some m * m / 2**64 share a first id (about one in four billion sets), so these few reach the driver and the workers.
+    """
+    clash: frozenset[int] = frozenset()
+    for _ in range(3):
+        table = materialize(digests(docs, n, percent, clash, id_bits), "digests")
+        double = table.where("sid is not null").groupBy("sid").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y")
+        with freeing_shuffles(table.sparkSession):
+            found = frozenset(r.sid for r in double.select("sid").collect())
+        if not found:
+            return table, clash
+        discard(table)
+        clash |= found
+    raise RuntimeError("different sets share both ids")
 
 
 def frequent_grams(table: DataFrame, frequent: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -139,7 +170,7 @@ def frequent_grams(table: DataFrame, frequent: int = FREQUENT, most: int = MOST_
 ENTRIES = "gram long, sid long, n int, place int, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
-def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, clash: frozenset[int] = frozenset(), id_bits: int = ID_BITS) -> DataFrame:
     """The inverted index of prefixes under the global order: frequent grams last, else by hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +179,7 @@ def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Data
             for _, sets in scanner.sets(batch.column("text")):
                 columns: list[list[np.ndarray]] = [[], [], [], [], []]
                 for s in sets:
-                    if not len(s) or (i := set_id(s)) in seen:
+                    if not len(s) or (i := set_id(s, clash, id_bits)) in seen:
                         continue
                     seen.add(i)
                     if len(frequent):
@@ -385,7 +416,7 @@ def open_pairs(near: DataFrame, sketches: DataFrame, percent: int, joining: bool
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
 
 
-def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: int = FILTER_BITS) -> DataFrame:
+def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: int = FILTER_BITS, clash: frozenset[int] = frozenset(), id_bits: int = ID_BITS) -> DataFrame:
     """Of the sets in ``wanted`` (sid), once each: (sid, grams, large, n), or (sid, both sketches), the wide one from WIDE_FROM grams on.
 
     A bitmap of fixed size spares the other sets the shuffle; the join that follows is exact.
@@ -402,7 +433,7 @@ def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: in
             for _, sets in scanner.sets(batch.column("text")):
                 ids, kept = [], []
                 for s in sets:
-                    if len(s) and (i := set_id(s)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
+                    if len(s) and (i := set_id(s, clash, id_bits)) not in seen and bitmap[(i % bits) // 32] >> (i % 32) & 1:
                         seen.add(i)
                         ids.append(i)
                         kept.append(s)
@@ -525,24 +556,27 @@ def link_counts(answers: DataFrame, sets: DataFrame, copies: DataFrame, percent:
     return found.groupBy("sid").agg(F.sum("links").alias("links"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bool = False, id_bits: int = ID_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, group_id, text_hash) of every row of ``docs`` (doc_id, text), with ``links`` also n_links.
 
     Rows link when 100 * intersection >= percent * union of their n-gram sets; component_id is the
     smallest doc_id reachable by links. Null or empty texts have no grams and are their own
     component; equal texts are one set. Null ids stay, and do not name a component others join.
     group_id names the group of linked rows apart from doc_ids, which may repeat (null: no grams).
-    n_links is the number of other rows a row links to, copies among them.
-    An empty table gives no rows; other columns are not read. Sets are told apart by 63-bit ids.
+    n_links is the number of other rows a row links to, copies among them. Texts of any length are compared whole.
+    An empty table gives no rows; other columns are not read, whatever their names. Sets are told apart by two
+    63-bit ids; ``id_bits`` is the width of the first.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = materialize(digests(docs, n, percent), "digests")
-    index = entries(docs, n, percent, frequent_grams(table))
-    near = materialize(near_entries(index, percent).drop("lead", "near", "far"), "near")
+    table, clash = told_apart(docs, n, percent, id_bits)
+    ids = {"clash": clash, "id_bits": id_bits}
+    index = entries(docs, n, percent, frequent_grams(table), **ids)
+    wider = materialize(near_entries(index, percent).drop("lead", "near", "far"), "near")
     # once more with the wider sketches, for the few that are left
-    sketches = materialize(of_sets(docs, near.select("sid").distinct(), n, True), "sketches")
-    near = materialize(near_entries(near.join(sketches, "sid"), percent), "near")
-    sets = materialize(of_sets(docs, near.select("sid").distinct(), n, False), "sets")
+    sketches = materialize(of_sets(docs, wider.select("sid").distinct(), n, True, **ids), "sketches")
+    near = materialize(near_entries(wider.join(sketches, "sid"), percent), "near")
+    discard(wider)
+    sets = materialize(of_sets(docs, near.select("sid").distinct(), n, False, **ids), "sets")
     # two verifications a set at most: the first set it hangs together with, and the nearest
     best = near.groupBy("sid").agg(F.min("lead").alias("lead"), F.min(F.struct("far", "near")).getField("near").alias("near"))
     first = best.select("sid", F.explode(F.array("lead", "near")).alias("other")).where("sid <> other")
@@ -553,8 +587,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bo
         answers = connected_components(edges, "a", "b")
         labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
         more = verify(open_pairs(labelled, sketches, percent, joining), sets, percent)
-        edges = materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
+        last, edges = edges, materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
+        discard(last)
     answers = connected_components(edges, "a", "b")
+    discard(edges, near, sketches, *([] if links else [sets]))
 
     least = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(answers.withColumnRenamed("node", "sid"), "sid", "left")
     linked = least.where("component is not null")
