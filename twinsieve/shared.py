@@ -57,6 +57,16 @@ def cleanup(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python BATCH_ROWS at a time, unless the session names a number of its own: Spark's 10,000 whole texts are too much for an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 @contextmanager
 def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
     """Actions inside remove their shuffle files as they end, not when the driver next collects garbage."""
