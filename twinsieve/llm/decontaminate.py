@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import WordScanner, grams, word_bytes
-from twinsieve.shared import materialize
+from twinsieve.shared import materialize, small_batches
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -115,6 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     columns of ``docs`` to carry along; others are not read, whatever their names.
     """
     extra = extra or []
+    small_batches(docs.sparkSession)
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(word_bytes(alnum_only=True))

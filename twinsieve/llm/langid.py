@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import slices
+from twinsieve.shared import small_batches
 
 WINDOW = 64
 MARGIN = 8
@@ -256,6 +257,7 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str], pred: str = "lan
     """
     if {c.lower() for c in keep} & {pred.lower(), score.lower()}:
         raise ValueError(f"kept columns clash with {pred} or {score}: name the results otherwise")
+    small_batches(docs.sparkSession)
     names = [f"c{k}" for k in range(len(keep))]
     schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.licence_texts import TEMPLATES
 from twinsieve.llm.textscan import WordScanner, slices, word_bytes
+from twinsieve.shared import small_batches
 
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 MIN_RUN = 4
@@ -233,6 +234,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(np.diff(splits), pa.int64()), pa.array(places, _PLACE), pa.array(spans, _SPAN)], ["doc_id", "n_words", "places", "spans"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(scan, f"doc_id long, n_words long, places {PLACES}, spans {SPANS}")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.tokenfiles import id_lists
 from twinsieve.llm.tokens import encoder
+from twinsieve.shared import small_batches
 
 GROUP_DOCS = 512
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -64,6 +65,7 @@ def pack_documents(
     pieces. Repeated rows are packed each; of equally long pieces that of the smaller id is placed first.
     An empty table gives no pieces; other columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, math.ceil(docs.count() / group_docs))
 
     def pack(table: pa.Table) -> pa.Table:

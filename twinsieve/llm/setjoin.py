@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import WordScanner, grams, mix, word_bytes
 from twinsieve.operators.components import connected_components
-from twinsieve.shared import discard, freeing_shuffles, materialize
+from twinsieve.shared import discard, freeing_shuffles, materialize, small_batches
 
 #: Grams that count as frequent: those in more prefixes than this, and at most MOST_FREQUENT of them.
 FREQUENT = 64
@@ -260,16 +260,24 @@ def _block_candidates(sid, n, place, near_enough, percent: int, label=None) -> I
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Columns of whole lists, many at a time, ordered by gram, n and sid, each set once in a list; lists of one entry left out."""
     held: list[np.ndarray] | None = None
+    more: list[list[np.ndarray]] = []  # batches that hold nothing but the list that ``held`` ends with
     for batch in _then_none(batches):
         if batch is not None:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            held = new if held is None else [np.concatenate([h, x]) for h, x in zip(held, new, strict=True)]
-            whole = np.searchsorted(held[0], held[0][-1], "left") if len(held[0]) else 0
+            if not len(new[0]):
+                continue
+            if held is not None and held[0][-1] == new[0][-1]:
+                more.append(new)
+                continue
+            held = new if held is None else [np.concatenate(x) for x in zip(held, *more, new, strict=True)]
+            more = []
+            whole = np.searchsorted(held[0], held[0][-1], "left")
         elif held is None:
             return
         else:
+            held = [np.concatenate(x) for x in zip(held, *more, strict=True)]
             whole = len(held[0])
-        now, held = [h[:whole] for h in held], [h[whole:] for h in held]
+        now, held = [h[:whole] for h in held], [h[whole:] for h in held] if batch is not None else None
         if not len(now[0]):
             continue
         order = np.lexsort((now[1], now[2], now[0]))
@@ -567,6 +575,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bo
     An empty table gives no rows; other columns are not read, whatever their names. Sets are told apart by two
     63-bit ids; ``id_bits`` is the width of the first.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     table, clash = told_apart(docs, n, percent, id_bits)
     ids = {"clash": clash, "id_bits": id_bits}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm.tokens import encoder
+from twinsieve.shared import small_batches
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -47,6 +48,7 @@ def write_tokens(
     Null text: the end id alone. Texts of any length are one row each. Repeated rows are written each, equal ids in order
     of their texts' hash. An empty table writes no rows; other columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, drops_space)
