@@ -11,7 +11,7 @@ from twinsieve.llm.langid import fit, held_out, identify
 from twinsieve.llm.licences import licence_digests, scan_licences
 from twinsieve.llm.ngramlm import SCORE_SQL, ngram_scores
 from twinsieve.llm.packing import DIGESTS, digest_pieces, pack_documents
-from twinsieve.llm.setjoin import jaccard_components
+from twinsieve.llm.setjoin import LINKS_SQL, jaccard_components
 from twinsieve.llm.sharding import shard_documents
 from twinsieve.llm.tokenfiles import token_digests, write_tokens
 from twinsieve.llm.tokens import tokenizer_path
@@ -84,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_lm_scores": SCORE_SQL,
     "op8_topk": TOP_SQL,
     "op9_chat": DIGEST_SQL,
+    "op10_jaccard_join": LINKS_SQL,
 }

@@ -614,3 +614,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bo
         table = table.withColumn("n_links", F.lit(0).cast("long"))
     rows = table.where("sid is not null").drop("n_links").join(named, "sid", "left").select(columns)
     return rows.unionByName(table.where("sid is null").withColumn("component_id", F.col("doc_id")).withColumn("group_id", F.col("sid")).select(columns))
+
+
+#: The joins of 3-word shingles at 90 percent in DuckDB SQL: every pair that shares a shingle, links, and what they reach.
+LINKS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM g),
+t AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM p JOIN n x ON x.doc_id = p.i JOIN n y ON y.doc_id = p.j WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)),
+u AS (SELECT i AS a, j AS b FROM e UNION ALL SELECT j, i FROM e),
+reach AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, reach.root FROM reach JOIN u ON u.a = reach.node),
+m AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM u GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component, n.doc_id) AS component_id, coalesce(k.n_links, 0) AS n_links FROM n LEFT JOIN m ON m.node = n.doc_id LEFT JOIN k ON k.a = n.doc_id
+"""
