@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import WordScanner, grams, word_bytes
+from twinsieve.llm.textscan import WordScanner, grams, trimmed, word_bytes
 from twinsieve.shared import materialize, small_batches
 
 MIN_MATCH = 5
@@ -119,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     def seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(word_bytes(alnum_only=True))
-        for batch in batches:
+        for batch in trimmed(batches):
             for first, words, splits in scanner.scan(batch.column("item_text")):
                 found, at = _seeds(words, splits, min_match)
                 n = len(splits) - 1
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     # the filter: at most FILTER_BITS / 32 rows reach the driver
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             at = np.unique(np.concatenate(_bits(batch.column("seed").to_numpy().view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(at)], ["b"])
 
@@ -145,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     def hits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(word_bytes(alnum_only=True))
-        for batch in batches:
+        for batch in trimmed(batches):
             for first, words, splits in scanner.scan(batch.column("text")):
                 found, at = _seeds(words, splits, min_match)
                 hit = np.ones(len(found), bool)
@@ -176,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(word_bytes(alnum_only=True))
-        for batch in batches:
+        for batch in trimmed(batches):
             sides = []
             for name in ("item_text", "text"):
                 sides.append([w[s:e] for _, w, splits in scanner.scan(batch.column(name)) for s, e in zip(splits[:-1], splits[1:], strict=True)])

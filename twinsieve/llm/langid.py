@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import slices
+from twinsieve.llm.textscan import slices, trimmed
 from twinsieve.shared import small_batches
 
 WINDOW = 64
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, net: Net | None, keep: list[str], pred: str = "lan
     schema = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             text, letters = batch.column("_text"), batch.column("_letters").to_numpy(zero_copy_only=False)
             for first, data, offsets in slices(text):
                 n = len(offsets) - 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.licence_texts import TEMPLATES
-from twinsieve.llm.textscan import WordScanner, slices, word_bytes
+from twinsieve.llm.textscan import WordScanner, slices, trimmed, word_bytes
 from twinsieve.shared import small_batches
 
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -221,7 +221,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases, min_run)
         last = len(scanner.vocabulary) - 1
-        for batch in batches:
+        for batch in trimmed(batches):
             for first, data, offsets in slices(batch.column("text")):
                 words, splits = scanner.words.words(data, offsets)
                 at = np.minimum(np.searchsorted(scanner.vocabulary, words), last)

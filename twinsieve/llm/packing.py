@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.tokenfiles import id_lists
+from twinsieve.llm.textscan import give_back
 from twinsieve.llm.tokens import encoder
 from twinsieve.shared import small_batches
 
@@ -94,7 +95,9 @@ def pack_documents(
                 "ids": id_lists(ids, np.concatenate([(firsts[row] + start), [len(ids)]])),
             }
         )
-        return project(out) if project else out
+        out = project(out) if project else out
+        give_back()
+        return out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     # each row is read once, so its place need not come out the same again; a lost task's rows are dealt as a whole

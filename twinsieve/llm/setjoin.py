@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsieve.llm.textscan import WordScanner, grams, mix, word_bytes
+from twinsieve.llm.textscan import WordScanner, grams, mix, trimmed, word_bytes
 from twinsieve.operators.components import connected_components
 from twinsieve.shared import discard, freeing_shuffles, materialize, small_batches
 
@@ -120,7 +120,7 @@ def digests(docs: DataFrame, n: int, percent: int, clash: frozenset[int] = froze
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
-        for batch in batches:
+        for batch in trimmed(batches):
             for first, sets in scanner.sets(batch.column("text")):
                 pairs = [both_ids(s, id_bits) if len(s) else (None, None) for s in sets]
                 pairs = [p[::-1] if p[0] in clash else p for p in pairs]
@@ -175,7 +175,7 @@ def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, clash:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
-        for batch in batches:
+        for batch in trimmed(batches):
             for _, sets in scanner.sets(batch.column("text")):
                 columns: list[list[np.ndarray]] = [[], [], [], [], []]
                 for s in sets:
@@ -295,7 +295,7 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[li
 
 
 def _then_none(batches):
-    yield from batches
+    yield from trimmed(batches)
     yield None
 
 
@@ -437,7 +437,7 @@ def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: in
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, seen = SetScanner(n), set()
-        for batch in batches:
+        for batch in trimmed(batches):
             for _, sets in scanner.sets(batch.column("text")):
                 ids, kept = [], []
                 for s in sets:
@@ -467,7 +467,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: whole sets are met only where their large sketches allow it."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             both = batch.column("m").to_numpy() + batch.column("n").to_numpy()
             most = both - 2 * -(-percent * both // (100 + percent))
             apart = [sketches_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]

@@ -7,6 +7,7 @@ mixed. Rows never join up: a word ends where its row ends. Null texts have no wo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,21 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 1 << 19
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory goes back after the last."""
+    yield from batches
+    give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinsieve.llm.textscan import give_back
 from twinsieve.llm.tokens import encoder
 from twinsieve.shared import small_batches
 
@@ -59,6 +60,7 @@ def write_tokens(
                     [batch.column("doc_id").slice(first, n), batch.column("seq").slice(first, n), pa.array(np.diff(splits)), id_lists(ids, splits)],
                     ["doc_id", "seq", "n_tokens", "ids"],
                 )
+            give_back()
 
     # equal ids are told apart by their text, so that many rows of one id can go to several tasks
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -116,6 +118,7 @@ def crc_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = [zlib.crc32(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
         lengths = pa.array(np.diff(offsets).astype(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), lengths, pa.array(crc, pa.int64())], ["doc_id", "seq", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:

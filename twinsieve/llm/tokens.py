@@ -21,7 +21,7 @@ from twinsieve.llm.textscan import WordScanner, slices
 #: Distinct cuts kept by one worker, about 30 bytes each; beyond that it starts anew.
 CACHE_ENTRIES = 1_500_000
 JOIN_PIECES = 2000
-SLICE = 1 << 20
+SLICE = 1 << 19
 _LINE = np.uint64(0x5851F42D4C957F2D)
 _BARE = np.uint64(0x14057B7EF767814F)
 
