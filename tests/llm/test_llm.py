@@ -302,7 +302,7 @@ def test_chat(spark):
     assert spans[0]["rewrites_from"] == -1 and spans[1]["rewrites_from"] == len("[user]")
 
 
-def test_jaccard_against_all_pairs(spark):
+def test_jaccard_against_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "y"]) + str(rng.randrange(60)) for _ in range(n)) for n in (40, 90, 700, 800, 2)]
     rows = list(ODD)
@@ -336,6 +336,9 @@ def test_jaccard_against_all_pairs(spark):
     assert got == want
     # ids of 4 bits: sets that fall on one id are told apart by the other
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(frame(spark, rows), id_bits=4).collect()} == want
+    # lists dealt to many parts
+    monkeypatch.setattr(setjoin, "LIST_PART", 7)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.jaccard_components(frame(spark, rows)).collect()} == want
     assert setjoin.jaccard_components(frame(spark, [])).count() == 0
 
 
@@ -358,6 +361,7 @@ def test_numbers_of_links_against_all_pairs(spark, monkeypatch):
     square = setjoin.link_counts
     monkeypatch.setattr(setjoin, "link_counts", lambda *a: square(*a, most=500))
     monkeypatch.setattr(setjoin, "MATRIX_PLACES", 64)
+    monkeypatch.setattr(setjoin, "LIST_PART", 5)
     assert {r["doc_id"]: r["n_links"] for r in setjoin.jaccard_components(docs, links=True).collect()} == want
 
 

@@ -12,6 +12,9 @@ a gram in their prefixes. Each gram's list is ordered by set size and taken in b
   answer, its component; only pairs between different answers are looked at again. So a large group
   of near copies costs about as many verifications as it has members, not as it has pairs.
 
+A list that very many sets share is dealt to parts of bounded size. First each part looks for candidates by itself, and
+its sets stay whether or not it has any; pairs of sets of different answers then meet in squares of two parts.
+
 Numbers of links, where asked for, come after that: links lie within components, so each component's
 sets are dealt to squares of bounded size, and a square intersects all its sets at once.
 
@@ -26,7 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.textscan import WordScanner, grams, mix, trimmed, word_bytes
@@ -39,6 +42,8 @@ MOST_FREQUENT = 65_536
 #: Bits of the fixed filter of sets that have a candidate.
 FILTER_BITS = 1 << 23
 SEEN_SETS = 50_000
+#: Entries of a list that a task takes at once, about: longer lists are dealt to parts of this size.
+LIST_PART = 512
 #: Grams of the sets on a side of a square, about, and places of the matrix that intersects them at a time.
 SQUARE_GRAMS = 1 << 19
 MATRIX_PLACES = 1 << 22
@@ -200,8 +205,8 @@ def entries(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, clash:
     return docs.select("text").mapInArrow(scan, ENTRIES)
 
 
-def _candidates(gram, sid, n, place, near_enough, percent: int, label=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of entries (ordered by gram, n, sid) that may be similar, and their sketches' distance; label: only pairs whose labels differ."""
+def _candidates(gram, sid, n, place, near_enough, percent: int, labels=()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of entries (ordered by gram, n, sid) that may be similar, and their sketches' distance; labels: only pairs that differ in each."""
     i = np.arange(len(gram))
     for d in range(1, len(gram)):
         i = i[i + d < len(gram)]
@@ -215,7 +220,7 @@ def _candidates(gram, sid, n, place, near_enough, percent: int, label=None) -> I
         need = -(-percent * both // (100 + percent))
         # positions: what is left after this gram on either side must reach the overlap
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (sid[i] != sid[j])
-        if label is not None:
+        for label in labels:
             ok &= label[i] != label[j]
         a, b, need, both = i[ok], j[ok], need[ok], both[ok]
         if len(a):
@@ -224,12 +229,12 @@ def _candidates(gram, sid, n, place, near_enough, percent: int, label=None) -> I
 
 
 #: Lists longer than this are joined block by block of positions.
-LONG_LIST = 512
+LONG_LIST = 256
 POSITION_BLOCK = 16
 PAIRS_AT_ONCE = 200_000
 
 
-def _block_candidates(sid, n, place, near_enough, percent: int, label=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _block_candidates(sid, n, place, near_enough, percent: int, labels=()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``_candidates`` for one long list: blocks of positions whose bound fails are skipped whole."""
     block = place // POSITION_BLOCK
     parts = [np.flatnonzero(block == b) for b in np.unique(block)]
@@ -250,15 +255,15 @@ def _block_candidates(sid, n, place, near_enough, percent: int, label=None) -> I
                 both = n[p] + n[q]
                 need = -(-percent * both // (100 + percent))
                 ok = (np.minimum(n[p] - place[p], n[q] - place[q]) >= need) & (sid[q] != sid[p])
-                if label is not None:
+                for label in labels:
                     ok &= label[q] != label[p]
                 q, need, both = q[ok], need[ok], both[ok]
                 ok, apart = near_enough(np.full(len(q), p), q, both - 2 * need)
                 yield np.full(len(apart), p), q[ok], apart
 
 
-def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole lists, many at a time, ordered by gram, n and sid, each set once in a list; lists of one entry left out."""
+def _lists(batches: Iterator[pa.RecordBatch], columns: list[str], parts: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Columns of whole lists, many at a time, ordered by list, n, sid and place, each entry once; lists of one entry left out, but for those of several ``parts``."""
     held: list[np.ndarray] | None = None
     more: list[list[np.ndarray]] = []  # batches that hold nothing but the list that ``held`` ends with
     for batch in _then_none(batches):
@@ -280,15 +285,17 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[li
         now, held = [h[:whole] for h in held], [h[whole:] for h in held] if batch is not None else None
         if not len(now[0]):
             continue
-        order = np.lexsort((now[1], now[2], now[0]))
+        order = np.lexsort((now[3], now[1], now[2], now[0]))
         now = [x[order] for x in now]
         same = np.zeros(len(now[0]), bool)
-        same[1:] = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])
+        same[1:] = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1]) & (now[3][1:] == now[3][:-1])
         now = [x[~same] for x in now]
         g = now[0]
         twin = np.zeros(len(g), bool)
         twin[1:] = g[1:] == g[:-1]
         twin[:-1] |= twin[1:]
+        if parts is not None:
+            twin |= now[parts] > 1
         now = [x[twin] for x in now]
         if len(now[0]):
             yield now
@@ -315,7 +322,7 @@ def _sketches_near(bits: np.ndarray, wide: np.ndarray | None, a: np.ndarray, b:
     return ok, apart[ok].astype(np.int64)
 
 
-def _pairs(now: list[np.ndarray], percent: int, label=None, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(now: list[np.ndarray], percent: int, labels=(), wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidate index pairs of many lists, some PAIRS_AT_ONCE at a time: long lists block by block, the rest at once."""
     gram, sid, n, place = now[0], now[1], now[2].astype(np.int64), now[3].astype(np.int64)
     bits = np.stack(now[4:8], axis=1).view(np.uint64)
@@ -328,11 +335,11 @@ def _pairs(now: list[np.ndarray], percent: int, label=None, wide: np.ndarray | N
             at = slice(b, b + size)
             short[at] = False
             near = partial(_sketches_near, bits[at], None if wide is None else wide[at])
-            for x, y, apart in _block_candidates(sid[at], n[at], place[at], near, percent, None if label is None else label[at]):
+            for x, y, apart in _block_candidates(sid[at], n[at], place[at], near, percent, [x[at] for x in labels]):
                 yield x + b, y + b, apart
         at = np.flatnonzero(short)
         near = partial(_sketches_near, bits[at], None if wide is None else wide[at])
-        for x, y, apart in _candidates(gram[at], sid[at], n[at], place[at], near, percent, None if label is None else label[at]):
+        for x, y, apart in _candidates(gram[at], sid[at], n[at], place[at], near, percent, [x[at] for x in labels]):
             yield at[x], at[y], apart
 
     held, count = [], 0
@@ -358,15 +365,27 @@ def _union(lead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             pass
 
 
-def near_entries(index: DataFrame, percent: int) -> DataFrame:
-    """The entries, without sketches, that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and the nearest candidate by sketch with its distance."""
-    columns = ["gram", "sid", "n", "place", *SKETCH] + ["wide"] * ("wide" in index.columns)
+def long_lists(index: DataFrame) -> DataFrame:
+    """(gram, parts) of the lists of more than LIST_PART entries."""
+    return index.groupBy("gram").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts")).where("parts > 1")
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("gram", "sid"), F.col("parts")).cast("int")
+
+
+def near_entries(index: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The entries, without sketches, that have a candidate in their list, with ``lead``: the first set of their connected candidates there, and the nearest candidate by sketch with its distance.
+
+    Of ``lists`` (gram, parts) each part is a list of its own, and all entries stay: those without a candidate in their part lead themselves.
+    """
+    columns = ["list", "sid", "n", "place", *SKETCH] + ["wide"] * ("wide" in index.columns) + ["gram", "parts"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _lists(batches, columns):
+        for now in _lists(batches, columns, len(columns) - 1):
             size = len(now[0])
             lead, near, far = np.arange(size), np.full(size, -1), np.full(size, 1 << 30)
-            for a, b, apart in _pairs(now, percent, wide=now[8] if len(now) > 8 else None):
+            for a, b, apart in _pairs(now, percent, wide=now[8] if len(now) > 10 else None):
                 lead = _union(lead, a, b)
                 for x, y in ((a, b), (b, a)):
                     order = np.argsort(-apart, kind="stable")
@@ -375,12 +394,15 @@ def near_entries(index: DataFrame, percent: int) -> DataFrame:
                     best_y[x], best_d[x] = y, d  # the last, nearest, stays
                     closer = best_d < far
                     near[closer], far[closer] = best_y[closer], best_d[closer]
-            some = np.flatnonzero(near >= 0)
+            some = np.flatnonzero((near >= 0) | (now[-1] > 1))
             if len(some):
-                kept = [pa.array(x[some]) for x in now[:4]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(now[1][lead[some]]), pa.array(now[1][near[some]]), pa.array(far[some].astype(np.int32))], [*columns[:4], "lead", "near", "far"])
+                near = np.where(near < 0, np.arange(size), near)
+                kept = [pa.array(x[some]) for x in (now[-2], *now[1:4], now[1][lead], now[1][near], far.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(kept, ["gram", "sid", "n", "place", "lead", "near", "far"])
 
-    return index.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "gram long, sid long, n int, place int, lead long, near long, far int")
+    rows = index.join(lists, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("list", F.when(F.col("parts") > 1, F.xxhash64("gram", _part())).otherwise(F.col("gram"))).select(columns)
+    return rows.repartition("list").sortWithinPartitions("list").mapInArrow(find, "gram long, sid long, n int, place int, lead long, near long, far int")
 
 
 def _forest(lead: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,26 +424,34 @@ def _forest(lead: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -
 def open_pairs(near: DataFrame, sketches: DataFrame, percent: int, joining: bool) -> DataFrame:
     """(a, b) distinct candidates of ``near`` entries whose ``label`` differs: all, or of each list only so many as join its labels.
 
-    Lists of one label, as most are, leave before the sketches come in.
+    Lists of one label, as most are, leave before the sketches come in. Of long lists each two parts make a square.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _lists(batches, ["gram", "sid", "n", "place", *SKETCH, "label", "wide"]):
+        for now in _lists(batches, columns):
             if joining:  # labels of a list count as joined from the start
                 order = np.lexsort((now[8], now[0]))
                 g, x = now[0][order], now[8][order]
                 new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
                 lead = np.empty(len(g), np.int64)
                 lead[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
-            for a, b, apart in _pairs(now, percent, now[8], now[9]):
+            for a, b, apart in _pairs(now, percent, (now[8], now[10]), now[9]):
                 if joining:
                     lead, a, b = _forest(lead, a, b, apart)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(now[1][a], now[1][b])), pa.array(np.maximum(now[1][a], now[1][b]))], ["a", "b"])
 
-    whole = Window.partitionBy("gram")
-    rows = near.select("gram", "sid", "n", "place", "label").withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high").drop("low", "high")
-    rows = rows.join(sketches, "sid").select("gram", "sid", "n", "place", *SKETCH, "label", "wide")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(find, "a long, b long").distinct()
+    columns = ["list", "sid", "n", "place", *SKETCH, "label", "wide", "side"]
+    mixed = near.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+    lists = materialize(mixed.where("low <> high").select("gram", "parts"), "lists")
+    rows = near.select("gram", "sid", "n", "place", "label").join(lists, "gram").join(sketches, "sid")
+    rows = rows.withColumn("part", _part()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    p, q = F.least("part", "other"), F.greatest("part", "other")
+    # in a square of two parts only pairs across them are looked at, in that of a part with itself all
+    rows = rows.withColumn("side", F.when(p == q, F.col("sid")).otherwise(F.col("part").cast("long")))
+    rows = rows.withColumn("list", F.when(F.col("parts") > 1, F.xxhash64("gram", p, q)).otherwise(F.col("gram"))).select(columns)
+    out = materialize(rows.repartition("list").sortWithinPartitions("list").mapInArrow(find, "a long, b long").distinct(), "open")
+    discard(lists)
+    return out
 
 
 def of_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool, bits: int = FILTER_BITS, clash: frozenset[int] = frozenset(), id_bits: int = ID_BITS) -> DataFrame:
@@ -579,12 +609,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     table, clash = told_apart(docs, n, percent, id_bits)
     ids = {"clash": clash, "id_bits": id_bits}
-    index = entries(docs, n, percent, frequent_grams(table), **ids)
-    wider = materialize(near_entries(index, percent).drop("lead", "near", "far"), "near")
+    index = materialize(entries(docs, n, percent, frequent_grams(table), **ids), "entries")
+    lists = materialize(long_lists(index), "lists")
+    wider = materialize(near_entries(index, lists, percent).drop("lead", "near", "far"), "near")
+    discard(index, lists)
     # once more with the wider sketches, for the few that are left
     sketches = materialize(of_sets(docs, wider.select("sid").distinct(), n, True, **ids), "sketches")
-    near = materialize(near_entries(wider.join(sketches, "sid"), percent), "near")
-    discard(wider)
+    lists = materialize(long_lists(wider), "lists")
+    near = materialize(near_entries(wider.join(sketches, "sid"), lists, percent), "near")
+    discard(wider, lists)
     sets = materialize(of_sets(docs, near.select("sid").distinct(), n, False, **ids), "sets")
     # two verifications a set at most: the first set it hangs together with, and the nearest
     best = near.groupBy("sid").agg(F.min("lead").alias("lead"), F.min(F.struct("far", "near")).getField("near").alias("near"))
@@ -595,9 +628,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, links: bo
     for joining in (True, False):
         answers = connected_components(edges, "a", "b")
         labelled = near.join(answers.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("component", "sid"))
-        more = verify(open_pairs(labelled, sketches, percent, joining), sets, percent)
+        labelled = materialize(labelled.select("gram", "sid", "n", "place", "label"), "labelled")
+        pairs = open_pairs(labelled, sketches, percent, joining)
+        more = verify(pairs, sets, percent)
         last, edges = edges, materialize(answers.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
-        discard(last)
+        discard(last, labelled, pairs)
     answers = connected_components(edges, "a", "b")
     discard(edges, near, sketches, *([] if links else [sets]))
 
