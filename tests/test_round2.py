@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from twinsieve.functions import text as X
+from twinsieve.plans import catalog, stores  # noqa: F401
 
 
 def test_halves_of_sizes_go_to_the_even_neighbour(spark):
@@ -13,3 +14,10 @@ def test_halves_of_sizes_go_to_the_even_neighbour(spark):
         unit = max(k for k in range(5) if n >= 1 << 10 * k)
         want.append(("%.2f" % (n / (1 << 10 * unit))).rstrip("0").rstrip(".") + " " + ("B", "KB", "MB", "GB", "TB")[unit])
     assert got == want and got[0] == "1.12 KB" and got[1] == "1.38 KB"
+
+
+def test_full_reads_have_no_least_id(spark, tmp_path):
+    orders = [(k, c, "O", 10.0) for k, c in ((0, 4), (-3, 4), (900, 4), (0, 5), (150, 5), (600, 5))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["channel_id"], r["msg_id"]) for r in stores.rows_to_read(spark, str(tmp_path)).collect())
+    assert got == [(4, -3), (4, 0), (4, 900), (5, 600)]

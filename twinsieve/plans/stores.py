@@ -316,6 +316,7 @@ def rows_to_read(spark, sf_dir):
     """Channels of even id changed their kinds of media since the last scan and are read whole; the others from the tail on."""
     s = _store(spark, sf_dir).select("channel_id", "msg_id")
     last = s.groupBy("channel_id").agg(F.max("msg_id").alias("last_id"))
-    whole, part = start_id(1000, False, "all", "video"), start_id(1000, False, "all", "all")
-    start = F.when(F.col("channel_id") % 2 == 0, whole[0]).otherwise(F.greatest(F.lit(0), F.col("last_id") - (1000 - part[0])))
-    return s.join(last, "channel_id").where(F.col("msg_id") > start).select("channel_id", "msg_id")
+    (_, whole), part = start_id(1000, False, "all", "video"), start_id(1000, False, "all", "all")
+    full = (F.col("channel_id") % 2 == 0) & F.lit(whole)  # a full read has no least id: message 0 is read too
+    start = F.greatest(F.lit(0), F.col("last_id") - (1000 - part[0]))
+    return s.join(last, "channel_id").where(full | (F.col("msg_id") > start)).select("channel_id", "msg_id")
