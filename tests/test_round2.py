@@ -46,3 +46,29 @@ def test_equal_durations_are_neither_compared_nor_one_task(spark, tmp_path):
     assert not re.search(r"Aggregate \[channel_id#\d+L?, i#", _plan(pairs))
     per = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(per) == 2500 * 2499 // 2 and len(per) > 1 and pairs.distinct().count() == sum(per)
+
+
+def test_all_candidates_are_the_union_of_the_joins_each_once(spark):
+    rows = [(1, k, f"n{k % 40} m{k % 7}", f"caption w{k % 9} and v{k % 11} here", None if k % 10 == 0 else 30_000 + k * k % 9_001 * 7, None if k % 6 == 0 else k % 13) for k in range(400)]
+    files = spark.createDataFrame(rows, "channel_id int, idx int, name_norm string, caption_norm string, size long, duration long")
+    cfg = catalog.SMALL
+    pairs = P.candidate_pairs(files, cfg)
+    assert _plan(pairs).startswith("Union")
+    got = [(r["i"], r["j"]) for r in pairs.collect()]
+    want = {(r["i"], r["j"]) for p in P._blocked_pairs(files, cfg) for r in p.collect()}
+    near = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[4] and b[4] and abs(a[4] - b[4]) <= max(50, round(min(a[4], b[4]) * 0.5 / 100))}
+    timed = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[4] and b[4] and a[5] == b[5] and (a[5] or 0) >= 3}
+    assert want - near - timed and near - timed - want
+    assert len(got) == len(set(got)) and set(got) == want | near | timed
+
+
+def test_sizes_are_told_as_pairs_of_equal_duration_are_made(spark, tmp_path):
+    """The pairs meet once, with no join of theirs to the files."""
+    _of_parts(spark, tmp_path, _parts(300))
+    edges = catalog.size_time_edges(spark, str(tmp_path))
+    assert _plan(edges).count("Join") <= 3
+    rows = [(r["channel_id"], r["idx"], r["size"], r["duration"]) for r in catalog.parts_v(spark, str(tmp_path)).collect()]
+    tol = lambda s: max(50, round(s * 0.5 / 100))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] == b[3] >= 3 and abs(a[2] - b[2]) <= tol(max(a[2], b[2]))}
+    got = [(r["i"], r["j"]) for r in edges.collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
