@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions import text as X
 from twinsieve.operators import pairs as P
-from twinsieve.operators.overlaps import sharing
+from twinsieve.operators.overlaps import alike, sharing
 from twinsieve.plans import catalog, stores
 
 
@@ -99,3 +99,19 @@ def test_shared_tokens_are_counted_in_blocks(spark):
     want = {(f"c{a % 2}", 7 * a, 7 * b, n) for a in range(90) for b in range(a + 1, 90) if a % 2 == b % 2 and (n := len(set(sets[a]) & set(sets[b]))) >= 5}
     assert want and len(got) == len(set(got)) and set(got) == want
     assert _plan(catalog.shared_token_pairs(spark, "/root/testdata/sf0.001")).startswith("MapInArrow")
+
+
+def test_alike_sets_lose_no_pair_to_prefixes(spark):
+    sets = _sets(120)
+    rows = spark.createDataFrame([(1, k, 1 + k % 3, s, s[::2]) for k, s in enumerate(sets)], "channel_id int, idx long, w long, t array<long>, x array<long>")
+    want = {}
+    for a in range(120):
+        for b in range(a + 1, 120):
+            x, y = set(sets[a]), set(sets[b])
+            if len(x & y) / len(x | y) >= 0.6 and len(set(sets[a][::2]) & set(sets[b][::2])) >= 2:
+                want[a, b] = (len(x & y) / len(x | y), float((1 + a % 3) * (1 + b % 3)))
+    for extra in (1, 3, 24):
+        pairs = alike(rows, 0.6, 2, block=17, extra=extra)
+        got = [((r["i"], r["j"]), (r["jaccard"], r["weight"])) for r in pairs.collect()]
+        assert want and len(got) == len(want) and dict(got) == want
+    assert _plan(catalog._text_edges(catalog._texts(spark, "/root/testdata/sf0.001"), 0.6)).startswith("MapInArrow")
